@@ -7,15 +7,18 @@ there and each distinct piece is encoded once.
 from __future__ import annotations
 
 import functools
+import gc
 import os
+from array import array
 
-import numpy as np
+
+_MARKS = ".,!?;:"
 
 
 class WordTokenizer:
-    """Encodes texts to little-endian unsigned 32-bit ids; the cache is cleared beyond ``cache_bytes``."""
+    """Encodes texts to little-endian unsigned 32-bit ids; beyond ``cache_words`` only the words in use are kept."""
 
-    cache_bytes = 64 << 20
+    cache_words, longest = 800_000, 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,43 +27,56 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._ids: dict[str, bytes] = {"": b""}
-        self._held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Cycles are not searched for meanwhile: there are none, and millions of strings."""
+        searching = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if searching:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         here = set().union(*split)
         ids = self._ids
-        self._learn(list(here - ids.keys()))
+        self._learn(here.difference(ids))
         out = [b"".join([ids[w] for w in words]) for words in split]
-        if self._held > self.cache_bytes:  # keep what this batch uses
-            self._ids = {w: ids[w] for w in here} | {"": b""}
-            self._held = sum(2 * len(w) + len(v) + 160 for w, v in self._ids.items())
+        for word in here:
+            if len(word) > self.longest:
+                del ids[word]
+        if len(ids) > self.cache_words:
+            self._ids = {w: ids[w] for w in here if w in ids} | {"": b""}
         return out
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         """Marks after a Latin letter are tokens of their own, and A-Z are lower-cased: such words share their stem's ids."""
-        stems, parts = {}, []
+        ids, words, cores, ends, stems, marks = self._ids, [], [], [], {}, {"": b""}
         for word in new:
-            stem = word.rstrip(".,!?;:")
-            if not stem or not stem[-1].isalpha() or stem[-1] > "\xff":
-                stem = word
-            marks, stem = word[len(stem) :], stem.lower() if stem.isascii() else stem
-            parts.append((stem, marks))
-            stems[stem] = stems[marks] = b""
-        for stem in stems:
-            stems[stem] = self._ids.get(stem, b"")
-        todo = [s for s in stems if s and s not in self._ids]
+            stem = word.rstrip(_MARKS)
+            if stem and stem[-1].isalpha() and stem[-1] <= "\xff":
+                mark = word[len(stem) :]
+                if mark not in marks:
+                    marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+                if stem.isascii():
+                    stem = stem.lower()
+            else:
+                stem, mark = word, ""
+            words.append(word)
+            cores.append(stem)
+            ends.append(mark)
+            stems[stem] = ids.get(stem)
+        todo = [s for s, known in stems.items() if known is None]
         for low in range(0, len(todo), 4096):
             part = todo[low : low + 4096]
             for stem, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                stems[stem] = np.array(found.ids, dtype="<u4").tobytes()
-        for word, (stem, marks) in zip(new, parts, strict=True):
-            self._ids[word] = packed = stems[stem] + stems[marks]
-            self._held += 2 * len(word) + len(packed) + 160
-        for stem in todo:
-            if stem not in self._ids:
-                self._ids[stem] = stems[stem]
-                self._held += 2 * len(stem) + len(stems[stem]) + 160
+                stems[stem] = packed = array("I", found.ids).tobytes()
+                if len(stem) <= self.longest:
+                    ids[stem] = packed
+        for word, stem, mark in zip(words, cores, ends, strict=True):
+            ids[word] = stems[stem] + marks[mark] if mark else stems[stem]
 
 
 @functools.lru_cache(maxsize=2)
