@@ -137,10 +137,10 @@ def test_line_dedup_second_round_joins_large_buckets(spark):
     _, roots = line_dedup.line_components(docs, all_pairs=2)
     found = defaultdict(set)
     for node, root in roots.collect():
-        found[bytes(root)].add(bytes(node))
+        found[root].add(node)
     expected = defaultdict(set)
     for line, root in brute_line_components(texts).items():
-        expected[root].add(line_dedup.line_key(line))
+        expected[root].add(line_dedup.line_id(line))
     assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in expected.values() if len(x) > 1)
 
 

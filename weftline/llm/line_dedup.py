@@ -4,10 +4,11 @@ Lines are compared lower-cased with white space squeezed. Two are linked when th
 sets of ``shingle``-character shingles is at least ``threshold`` (a shorter line is one shingle of its own).
 Signatures: every shingle is hashed once and the least hash of each of ``bands * rows`` bins is kept, empty bins
 borrowing from the next full one. Lines that agree on a band share a bucket. A bucket of up to ``all_pairs``
-lines proposes all its pairs; a larger one proposes each line with its neighbour and with the first line in an
-order of the band's own, and, in a second round, the pairs of lines that are still in different components.
-Proposed pairs are verified exactly on their texts. Of each component the first line by (doc_id, line number)
-stays, wherever it is; lines without any word always stay.
+lines proposes all its pairs; a larger one proposes each line with its most widespread line (a near copy mostly
+differs less from the original than from another copy) and with its neighbour by id, and, in a second round, the
+same among one line of each component that is left in it. So the work is linear in a bucket's size; what the
+second round leaves apart is counted as different. Proposed pairs are verified exactly on their texts. Of each
+component the first line by (doc_id, line number) stays, wherever it is; lines without any word always stay.
 
 With 12 bands of 4 rows a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.9 practically
 always.
@@ -41,38 +42,45 @@ def normal_line(line: str) -> str:
 
 
 def line_id(normal: str) -> int:
-    """Signed 64-bit id of a normal line."""
+    """Signed 64-bit id of a normal line. Of n different lines about n * n / 2**65 pairs share one and count as equal."""
     h = xxhash.xxh64_intdigest(normal.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_key(normal: str) -> bytes:
-    """128-bit identity of a normal line."""
-    return xxhash.xxh3_128_digest(normal.encode("utf-8", "surrogatepass"))
-
-
 def document_key(doc_id: object, text: str) -> bytes:
     return xxhash.xxh3_128_digest(f"{doc_id}\n{text}".encode("utf-8", "surrogatepass"))
 
 
 def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of all lines in one array, and where each line's begin."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    lengths = np.array([len(x) for x in lines], dtype=np.int64)
-    begins = np.cumsum(lengths) - lengths
+    """32-bit hashes of the character shingles of all lines in one array, and where each line's begin."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     counts = np.maximum(1, lengths - width + 1)
     starts = np.cumsum(counts) - counts
-    at = np.repeat(begins - starts, counts) + np.arange(counts.sum())
-    codes = np.concatenate((codes, np.zeros(width, dtype=np.uint64)))
-    rolled = np.zeros(len(codes) - width + 1, dtype=np.uint64)
-    for k in range(width):
-        rolled = rolled * _STEP + codes[k : k + len(rolled)]
-    hashes = rolled[at]
+    if not len(codes):
+        return np.zeros(len(lines), dtype=np.uint32), starts
+    rolled, step, span = np.concatenate((codes, np.zeros(width, dtype=np.uint32))), 0x9E3779B1, 1
+    while span < width:  # hashes of twice as many characters, from those that begin span apart
+        rolled = rolled[:-span] * np.uint32(step) + rolled[span:]
+        step, span = step * step & 0xFFFFFFFF | 1, 2 * span
+    drop = np.zeros(len(codes), dtype=bool)
+    ends = np.cumsum(lengths)
+    for k in range(1, width):  # shingles that would run over the end of their line
+        drop[(ends - k)[lengths > k]] = True
+    hashes = rolled[: len(codes)][~drop] if lengths.min() >= width else _with_short(rolled, lines, lengths, width)
+    hashes = (hashes ^ (hashes >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    hashes = (hashes ^ (hashes >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return hashes ^ (hashes >> np.uint32(16)), starts
+
+
+def _with_short(rolled: np.ndarray, lines: list[str], lengths: np.ndarray, width: int) -> np.ndarray:
+    """Shingle hashes where some lines are shorter than a shingle: those have one of their own."""
+    counts = np.maximum(1, lengths - width + 1)
+    begins, starts = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
+    hashes = rolled[np.repeat(begins - starts, counts) + np.arange(counts.sum())]
     short = np.flatnonzero(lengths < width)
-    if len(short):
-        hashes[starts[short]] = [xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass"), 3) for i in short.tolist()]
-    hashes = (hashes ^ (hashes >> np.uint64(33))) * _MIX
-    return hashes ^ (hashes >> np.uint64(29)), starts
+    hashes[starts[short]] = [xxhash.xxh32_intdigest(lines[i].encode("utf-8", "surrogatepass"), 3) for i in short.tolist()]
+    return hashes
 
 
 def band_hashes(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -80,20 +88,21 @@ def band_hashes(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.nd
     hashes, starts = shingle_hashes(lines)
     bins = bands * rows
     counts = np.diff(np.append(starts, len(hashes)))
-    key = np.repeat(np.arange(len(lines), dtype=np.int64) * bins, counts)
-    key += ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    most = np.uint64(0xFFFFFFFF)
-    least = np.full(len(lines) * bins, most, dtype=np.uint64)
-    np.minimum.at(least, key, hashes & most)
-    least = least.reshape(len(lines), bins)
-    for step in range(1, bins):
-        empty = least == most
-        if not empty.any():
+    spread = hashes * np.uint32(0x9E3779B1)
+    key = np.repeat(np.arange(len(lines), dtype=np.int64) * bins, counts) + ((spread >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16))
+    most = np.uint32(0xFFFFFFFF)
+    least = np.full(len(lines) * bins, most, dtype=np.uint32)
+    np.minimum.at(least, key, hashes)
+    full = least.reshape(len(lines), bins)
+    # an empty bin takes the value of the first full one in an order of its own, the same for all lines
+    least, rng = full.copy(), np.random.default_rng(bins)
+    for _ in range(8 * bins):
+        at = np.flatnonzero((least == most).any(axis=1))
+        if not len(at):
             break
-        # one more step from the bin it came from, so that borrowed values differ between steps
-        shifted = np.roll(least, -1, axis=1)
-        found = empty & (shifted != most)
-        least = np.where(found, (shifted * np.uint64(0x85EBCA6B) + np.uint64(step)) & (most >> np.uint64(1)), least)
+        part = least[at]
+        least[at] = np.where(part == most, full[at][:, rng.integers(0, bins, bins)], part)
+    least = least.astype(np.uint64)
     out = np.zeros((len(lines), bands), dtype=np.uint64)
     for b in range(bands):
         own = np.full(len(lines), np.uint64(b + 1))
@@ -105,10 +114,10 @@ def band_hashes(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Occurrences: doc_id, line_no, doc_key, line_key, id; bands only at a line's first occurrence in a batch."""
+    """Occurrences: doc_id, line_no, doc_key, id; bands only at a line's first occurrence in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             seen: dict[str, int] = {}
             at, number, own = [], [], []
             doc_keys = []
@@ -122,8 +131,8 @@ def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if not seen:
                 continue
             lines = list(seen)
-            keys, ids, bands = [line_key(x) for x in lines], [line_id(x) for x in lines], band_hashes(lines)
-            first = np.unique(np.array(own), return_index=True)[1]
+            ids, bands, own = np.array([line_id(x) for x in lines]), band_hashes(lines), np.array(own)
+            first = np.unique(own, return_index=True)[1]  # lines are numbered as they come: in order
             offsets = np.zeros(len(own) + 1, dtype=np.int32)
             offsets[first + 1] = BANDS
             offsets = np.cumsum(offsets, dtype=np.int32)
@@ -132,32 +141,29 @@ def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     batch.column("doc_id").take(pa.array(at, pa.int64())),
                     pa.array(number, pa.int32()),
                     pa.array([doc_keys[i] for i in at], pa.binary()),
-                    pa.array([keys[i] for i in own], pa.binary()),
-                    pa.array([ids[i] for i in own], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[np.array(own)[np.sort(first)]].ravel())),
+                    pa.array(ids[own]),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
                 ],
-                ["doc_id", "line_no", "doc_key", "line_key", "id", "bands"],
+                ["doc_id", "line_no", "doc_key", "id", "bands"],
             )
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, line_no int, doc_key binary, line_key binary, id long, bands array<long>")
-
-
-def _mixed(ids: np.ndarray, band: int) -> np.ndarray:
-    x = (ids.view(np.uint64) ^ np.uint64(band & (1 << 64) - 1)) * _MIX
-    return x ^ (x >> np.uint64(32))
+    return source.mapInArrow(run, f"doc_id {kind}, line_no int, doc_key binary, id long, bands array<long>")
 
 
 def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
-    """kind 0: pair (a, b) of ids; kind 1: member b of the large bucket a, for the second round."""
+    """From rows (band, id), a row for each batch of documents that has the line: kind 0, a pair (a, b) of ids;
+    kind 1, a member b of the large bucket a, for the second round."""
 
-    def pairs_of(band: int, ids: np.ndarray) -> tuple[list[np.ndarray], bool]:
+    def pairs_of(band: int, held: np.ndarray) -> tuple[list[np.ndarray], bool]:
+        ids, spread = np.unique(held, return_counts=True)
         if len(ids) <= all_pairs:
             i, j = np.triu_indices(len(ids), 1)
             return [np.stack((ids[i], ids[j]))], False
-        ids = ids[np.argsort(_mixed(ids, band), kind="stable")]
-        return [np.stack((ids[:-1], ids[1:])), np.stack((np.repeat(ids[:1], len(ids) - 2), ids[2:]))], True
+        hub = ids[spread.argmax()]
+        others = ids[ids != hub]
+        return [np.stack((ids[:-1], ids[1:])), np.stack((np.full(len(others), hub), others))], True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(found: list[np.ndarray], large: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -180,16 +186,16 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
             for s in sorted({0, len(cuts) - 2, *several}):
                 b = int(band[cuts[s]])
                 if b != held_band:
-                    if sum(map(len, held)) > 1 and len(own := np.unique(np.concatenate(held))) > 1:
-                        pairs, big = pairs_of(held_band, own)
+                    if sum(map(len, held)) > 1:
+                        pairs, big = pairs_of(held_band, np.concatenate(held))
                         found += pairs
-                        large += [(held_band, own)] * big
+                        large += [(held_band, np.unique(np.concatenate(held)))] * big
                     held, held_band = [], b
                 held.append(ids[cuts[s] : cuts[s + 1]])
             yield from emit(found, large)
-        if held and len(own := np.unique(np.concatenate(held))) > 1:
-            pairs, big = pairs_of(held_band, own)
-            yield from emit(pairs, [(held_band, own)] * big)
+        if held:
+            pairs, big = pairs_of(held_band, np.concatenate(held))
+            yield from emit(pairs, [(held_band, np.unique(np.concatenate(held)))] * big)
 
     n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = bands.repartition(n, "band").sortWithinPartitions("band")
@@ -197,7 +203,7 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float, label: str) -> DataFrame:
-    """(a, b) line keys of the proposed pairs of ids whose lines are similar enough."""
+    """(a, b) ids of the proposed pairs whose lines are similar enough."""
     spark = docs.sparkSession
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{label}-wanted")
     bit = F.pmod(F.col("id"), F.lit(FILTER_WORDS * 64))
@@ -235,73 +241,48 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thr
                     continue
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 if common >= threshold * (len(p) + len(q) - common):
-                    good.append((line_key(x), line_key(y)))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.binary()), pa.array([y for _, y in good], pa.binary())], ["a", "b"])
+                    good.append((line_id(x), line_id(y)))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
     texts = docs.select(F.col(text_col).alias("text")).mapInArrow(lines, "id long, line string")
     texts = materialize(texts.join(wanted, "id", "left_semi").distinct(), f"{label}-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
-    return both.select("a_line", "b_line").mapInArrow(check, "a binary, b binary")
+    return both.select("a_line", "b_line").mapInArrow(check, "a long, b long")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, all_pairs: int = 8) -> tuple[DataFrame, DataFrame]:
-    """The occurrences of lines, and (node, root) line keys of linked lines."""
+    """The occurrences of lines, and (node, root) ids of linked lines."""
     occurrences = materialize(_lines_of(docs, id_col, text_col), "lines")
-    bands = occurrences.select(F.explode("bands").alias("band"), "id")
+    bands = occurrences.where("bands is not null").select(F.explode("bands").alias("band"), "id")
     proposed = materialize(_proposals(bands, all_pairs), "line-pairs")
-    pairs = materialize(proposed.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = materialize(_distinct_pairs(proposed), "pairs")
     links = materialize(_verified(docs, pairs, id_col, text_col, threshold, "first"), "links")
     roots = connected_components(links, "a", "b", "line-cc")
     large = proposed.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("id"))
-    if not large.isEmpty():
-        more = _across(large, occurrences, roots)
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti").distinct(), "more-pairs")
-        if not more.isEmpty():
-            again = _verified(docs, more, id_col, text_col, threshold, "second")
-            links = links.unionByName(again)
-            roots = connected_components(links, "a", "b", "line-cc")
+    left = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    # one line of each component in each bucket that has several
+    ones = materialize(left.groupBy("band", "root").agg(F.min("id").alias("id")), "component-lines")
+    several = ones.groupBy("band").count().where("count > 1").select("band")
+    again = _proposals(ones.select("band", "id").join(several, "band", "left_semi"), all_pairs)
+    more = materialize(_distinct_pairs(again).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    if not more.isEmpty():
+        links = links.unionByName(_verified(docs, more, id_col, text_col, threshold, "second"))
+        roots = connected_components(links, "a", "b", "line-cc")
     return occurrences, roots
 
 
-def _across(large: DataFrame, occurrences: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of ids in large buckets that are in different components."""
-    members = large.select("id").distinct()
-    keys = occurrences.join(members, "id", "left_semi").groupBy("id").agg(F.min("line_key").alias("node"))
-    named = keys.join(roots, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("root"))
-    rooted = large.join(named, "id")
-    open_bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rooted = rooted.join(open_bands, "band", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_band, ids, groups = None, [], []
-        for batch in batches:
-            for band, i, root in zip(*(batch.column(c).to_pylist() for c in ("band", "id", "root")), strict=True):
-                if band != held_band:
-                    held_band, ids, groups = band, [], []
-                if ids and (len(groups) > 1 or groups[0][0] != root):
-                    others = [x for g, own in groups if g != root for x in own]
-                    if others:
-                        a = np.array(others, dtype=np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, i)), pa.array(np.maximum(a, i))], ["a", "b"])
-                if groups and groups[-1][0] == root:
-                    groups[-1][1].append(i)
-                else:
-                    groups.append((root, [i]))
-                ids.append(i)
-
-    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rooted.select("band", "id", "root").repartition(n, "band").sortWithinPartitions("band", "root")
-    return ordered.mapInArrow(run, "a long, b long")
+def _distinct_pairs(proposed: DataFrame) -> DataFrame:
+    return proposed.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def kept_lines(occurrences: DataFrame, roots: DataFrame) -> DataFrame:
     """doc_key and the numbers of the lines that stay, for documents in which any line with words does."""
-    first = occurrences.groupBy("line_key").agg(
+    first = occurrences.groupBy("id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "doc_key")).alias("first")
     )
-    grouped = first.join(roots.withColumnRenamed("node", "line_key"), "line_key", "left")
-    winners = grouped.groupBy(F.coalesce("root", "line_key").alias("root")).agg(F.min("first").alias("first"))
+    grouped = first.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    winners = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
     return winners.groupBy("first.doc_key").agg(F.collect_list("first.line_no").alias("kept"))
 
 
