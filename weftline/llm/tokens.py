@@ -12,13 +12,23 @@ import os
 from array import array
 
 
-_MARKS = ".,!?;:"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may begin a token with a letter
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1 as it is, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids; beyond ``cache_words`` only the words in use are kept."""
 
-    cache_words, longest = 800_000, 64
+    cache_words, longest = 1_200_000, 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,7 +70,7 @@ class WordTokenizer:
                 mark = word[len(stem) :]
                 if mark not in marks:
                     marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
-                if stem.isascii():
+                if stem.isascii() or stem.isalpha() and max(stem) <= "\xff":
                     stem = stem.lower()
             else:
                 stem, mark = word, ""
@@ -68,7 +78,18 @@ class WordTokenizer:
             cores.append(stem)
             ends.append(mark)
             stems[stem] = ids.get(stem)
-        todo = [s for s, known in stems.items() if known is None]
+        todo, tokenize = [], self.tokenizer.model.tokenize
+        for stem, known in stems.items():
+            if known is not None:
+                continue
+            if not stem.isalpha() or not stem.isascii() and max(stem) > "\xff":
+                todo.append(stem)
+                continue
+            # Latin letters in lower case: normalizer and pre-tokenizer leave them as they are
+            spelt = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            stems[stem] = packed = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+            if len(stem) <= self.longest:
+                ids[stem] = packed
         for low in range(0, len(todo), 4096):
             part = todo[low : low + 4096]
             for stem, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
