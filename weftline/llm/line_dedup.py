@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import connected_components, materialize, sliced
@@ -47,8 +47,9 @@ def line_id(normal: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def document_key(doc_id: object, text: str) -> bytes:
-    return xxhash.xxh3_128_digest(f"{doc_id}\n{text}".encode("utf-8", "surrogatepass"))
+def document_key(id_col: str, text_col: str) -> Column:
+    """Tells documents with the same id apart."""
+    return F.xxhash64(id_col, text_col)
 
 
 def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +121,7 @@ def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in sliced(batches, "text", 1 << 20):
             seen: dict[str, int] = {}
             at, number, own = [], [], []
-            doc_keys = []
-            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                doc_keys.append(document_key(doc, text or ""))
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 for n, line in enumerate((text or "").split("\n")):
                     if normal := normal_line(line):
                         at.append(i)
@@ -138,26 +137,25 @@ def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             offsets = np.cumsum(offsets, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(at, pa.int64())),
+                    batch.column("doc_id").take(at := pa.array(at, pa.int64())),
                     pa.array(number, pa.int32()),
-                    pa.array([doc_keys[i] for i in at], pa.binary()),
+                    batch.column("doc_key").take(at),
                     pa.array(ids[own]),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
                 ],
                 ["doc_id", "line_no", "doc_key", "id", "bands"],
             )
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), document_key(id_col, text_col).alias("doc_key"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, line_no int, doc_key binary, id long, bands array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, line_no int, doc_key long, id long, bands array<long>")
 
 
 def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
     """From rows (band, id), a row for each batch of documents that has the line: kind 0, a pair (a, b) of ids;
     kind 1, a member b of the large bucket a, for the second round."""
 
-    def pairs_of(band: int, held: np.ndarray) -> tuple[list[np.ndarray], bool]:
-        ids, spread = np.unique(held, return_counts=True)
+    def pairs_of(ids: np.ndarray, spread: np.ndarray) -> tuple[list[np.ndarray], bool]:
         if len(ids) <= all_pairs:
             i, j = np.triu_indices(len(ids), 1)
             return [np.stack((ids[i], ids[j]))], False
@@ -175,37 +173,55 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
                     cut = slice(low, low + (1 << 18))
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[cut]), pa.array(both[0, cut]), pa.array(both[1, cut])], ["kind", "a", "b"])
 
-        held, held_band = [], None
+        none = np.zeros(0, dtype=np.int64)
+        held, held_band = (none, none), 0  # ids of the open bucket and how many batches of documents have each
+
+        def close() -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
+            if len(held[0]) < 2:
+                return [], []
+            pairs, large = pairs_of(*held)
+            return pairs, [(held_band, held[0])] * large
+
         for batch in batches:
             band, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "id"))
             if not len(ids):
                 continue
+            first = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (ids[1:] != ids[:-1]))))
+            spread = np.diff(np.append(first, len(ids)))
+            band, ids = band[first], ids[first]
             cuts = np.concatenate(([0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(ids)]))
-            several = np.flatnonzero(np.diff(cuts) > 1).tolist()
-            found, large = [], []
-            for s in sorted({0, len(cuts) - 2, *several}):
-                b = int(band[cuts[s]])
-                if b != held_band:
-                    if sum(map(len, held)) > 1:
-                        pairs, big = pairs_of(held_band, np.concatenate(held))
-                        found += pairs
-                        large += [(held_band, np.unique(np.concatenate(held)))] * big
-                    held, held_band = [], b
-                held.append(ids[cuts[s] : cuts[s + 1]])
+            sizes = np.diff(cuts)
+            inner = np.ones(len(sizes), dtype=bool)
+            inner[[0, -1]] = False  # these may go on in other batches
+            twos = cuts[:-1][inner & (sizes == 2)]
+            found, large = [np.stack((ids[twos], ids[twos + 1]))], []
+            for s in np.flatnonzero(inner & (sizes > 2)).tolist():
+                own = slice(cuts[s], cuts[s + 1])
+                pairs, big = pairs_of(ids[own], spread[own])
+                found += pairs
+                large += [(int(band[cuts[s]]), ids[own])] * big
+            for s in sorted({0, len(sizes) - 1}):
+                own = slice(cuts[s], cuts[s + 1])
+                if int(band[cuts[s]]) != held_band:
+                    pairs, big = close()
+                    found += pairs
+                    large += big
+                    held, held_band = (none, none), int(band[cuts[s]])
+                both, counts = np.concatenate((held[0], ids[own])), np.concatenate((held[1], spread[own]))
+                known, at = np.unique(both, return_inverse=True)
+                held = known, np.bincount(at, counts).astype(np.int64)
             yield from emit(found, large)
-        if held:
-            pairs, big = pairs_of(held_band, np.concatenate(held))
-            yield from emit(pairs, [(held_band, np.unique(np.concatenate(held)))] * big)
+        yield from emit(*close())
 
     n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = bands.repartition(n, "band").sortWithinPartitions("band")
+    ordered = bands.repartition(n, "band").sortWithinPartitions("band", "id")
     return ordered.mapInArrow(run, "kind int, a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float, label: str) -> DataFrame:
-    """(a, b) ids of the proposed pairs whose lines are similar enough."""
+def _texts(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
+    """(id, line) of the lines in the proposed pairs."""
     spark = docs.sparkSession
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{label}-wanted")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-lines")
     bit = F.pmod(F.col("id"), F.lit(FILTER_WORDS * 64))
     words = wanted.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER_WORDS * 64}) % 64 as int))")).alias("bits"))
     field = np.zeros(FILTER_WORDS, dtype=np.int64)
@@ -225,6 +241,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thr
             passed = np.flatnonzero(bits[place // 64] >> (place % 64).astype(np.uint64) & np.uint64(1)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ids[passed]), pa.array([own[i] for i in passed], pa.string())], ["id", "line"])
 
+    texts = docs.select(F.col(text_col).alias("text")).mapInArrow(lines, "id long, line string")
+    return materialize(texts.join(wanted, "id", "left_semi").distinct(), "line-texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) ids of the proposed pairs whose lines are similar enough."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "a_line", 2 << 20):
             a, b = batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist()
@@ -244,8 +267,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thr
                     good.append((line_id(x), line_id(y)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
-    texts = docs.select(F.col(text_col).alias("text")).mapInArrow(lines, "id long, line string")
-    texts = materialize(texts.join(wanted, "id", "left_semi").distinct(), f"{label}-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
     return both.select("a_line", "b_line").mapInArrow(check, "a long, b long")
@@ -257,7 +278,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = occurrences.where("bands is not null").select(F.explode("bands").alias("band"), "id")
     proposed = materialize(_proposals(bands, all_pairs), "line-pairs")
     pairs = materialize(_distinct_pairs(proposed), "pairs")
-    links = materialize(_verified(docs, pairs, id_col, text_col, threshold, "first"), "links")
+    texts = _texts(docs, pairs, text_col)
+    links = materialize(_verified(texts, pairs, threshold), "links")
     roots = connected_components(links, "a", "b", "line-cc")
     large = proposed.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("id"))
     left = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
@@ -267,7 +289,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = _proposals(ones.select("band", "id").join(several, "band", "left_semi"), all_pairs)
     more = materialize(_distinct_pairs(again).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(docs, more, id_col, text_col, threshold, "second"))
+        links = links.unionByName(_verified(texts, more, threshold))
         roots = connected_components(links, "a", "b", "line-cc")
     return occurrences, roots
 
@@ -277,27 +299,21 @@ def _distinct_pairs(proposed: DataFrame) -> DataFrame:
 
 
 def kept_lines(occurrences: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_key and the numbers of the lines that stay, for documents in which any line with words does."""
+    """doc_id, doc_key and the numbers of the lines that stay, for documents in which any line with words does."""
     first = occurrences.groupBy("id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "doc_key")).alias("first")
     )
     grouped = first.join(roots.withColumnRenamed("node", "id"), "id", "left")
     winners = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    return winners.groupBy("first.doc_key").agg(F.collect_list("first.line_no").alias("kept"))
+    return winners.groupBy("first.doc_id", "first.doc_key").agg(F.collect_list("first.line_no").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with only the lines that stay in its text; all columns and rows as before."""
     occurrences, roots = line_components(docs, id_col, text_col, threshold)
-    kept = kept_lines(occurrences, roots).withColumnRenamed("doc_key", "__key")
+    kept = kept_lines(occurrences, roots)
     fields = [f"c{i}" for i in range(len(docs.columns))]
     place = docs.columns.index(text_col)
-    id_place = docs.columns.index(id_col)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [document_key(d, t or "") for d, t in zip(batch.column(id_place).to_pylist(), batch.column(place).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*fields, "__key"])
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,5 +329,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     plain = docs.toDF(*fields)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    with_key = plain.mapInArrow(keyed, schema + ", __key binary").join(kept, "__key", "left").select(*fields, "kept")
-    return with_key.mapInArrow(rewritten, schema).toDF(*docs.columns)
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "kept")
+    own = f"c{docs.columns.index(id_col)}"
+    same = document_key(own, f"c{place}") == F.col("__key")
+    with_lines = plain.join(kept, same & F.col(own).eqNullSafe(F.col("__id")), "left").select(*fields, "kept")
+    return with_lines.mapInArrow(rewritten, schema).toDF(*docs.columns)
