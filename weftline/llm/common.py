@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,7 +48,20 @@ def texts_of(batch: pa.RecordBatch, column: str, as_bytes: bool = False) -> list
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the text in a slice stays near ``max_bytes`` (one longer text makes a slice of its own)."""
+    """Cut record batches so that the text in a slice stays near ``max_bytes`` (one longer text makes a slice of its own).
+
+    Cycles are not searched for while batches pass: the operators make none, and millions of strings.
+    """
+    searching = gc.isenabled()
+    gc.disable()
+    try:
+        yield from _cut(batches, column, max_bytes)
+    finally:
+        if searching:
+            gc.enable()
+
+
+def _cut(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0

@@ -144,7 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int
     rows = chosen.mapInArrow(run, f"doc_id {kind['doc_id']}, toxic {kind['toxic']}, words array<string>, counts array<int>")
     found = rows.toArrow().sort_by("doc_id")
     bags = [Counter(dict(zip(w, c, strict=True))) for w, c in zip(found["words"].to_pylist(), found["counts"].to_pylist(), strict=True)]
-    return fit(bags, found["toxic"].to_pylist(), **params)
+    model = fit(bags, found["toxic"].to_pylist(), **params)
+    classes = dict(known.groupBy("toxic").count().collect())
+    if len(classes) == 2:  # the fit weighs both classes the same; half-way back to how common they are
+        model.bias += 0.5 * float(np.log(classes[1] / classes[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
