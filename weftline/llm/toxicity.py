@@ -44,9 +44,18 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
+        self._list: list[float] = []
+        self._words: dict[str, float] = {}  # the last answers
 
     def word(self, word: str) -> float:
-        return float(self.weights[subwords(word, len(self.weights))].mean())
+        found = self._words.get(word)
+        if found is None:
+            self._list = self._list or self.weights.tolist()
+            if len(self._words) > 600_000:
+                self._words.clear()
+            own = subwords(word, len(self._list))
+            found = self._words[word] = sum(map(self._list.__getitem__, own)) / len(own)
+        return found
 
     def part(self, part: str) -> tuple[float, int]:
         """Sum over the words in a piece of text without spaces, and their number."""
