@@ -67,7 +67,9 @@ class Model:
         self.langs = sorted({r[0] for r in rows})
         self.longest = longest
         place = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.tables: list[dict[str, int]] = []  # places in the rows of logs
+        self._words: dict[str, np.ndarray] = {}  # the last answers
+        logs: list[np.ndarray] = []
         for kind in range(longest + 1):
             counts: dict[str, np.ndarray] = {}
             for lang, k, feature, n in rows:
@@ -75,28 +77,37 @@ class Model:
                     counts.setdefault(feature, np.zeros(len(self.langs)))[place[lang]] += n
             total = sum(counts.values(), np.zeros(len(self.langs)))
             floor = 0.5
-            logs = {f: np.log((c + floor) / (total + floor * (len(counts) + 1))) for f, c in counts.items()}
-            self.tables.append({f: (x - x.max()).astype(np.float32) for f, x in logs.items()})
+            self.tables.append({f: len(logs) + i for i, f in enumerate(counts)})
+            logs += [np.log((c + floor) / (total + floor * (len(counts) + 1))) for c in counts.values()]
+        self.logs = np.array(logs, dtype=np.float32).reshape(-1, len(self.langs))
+        if len(self.langs):
+            self.logs -= self.logs.max(axis=1, keepdims=True)
 
     def word(self, word: str) -> np.ndarray:
         """Log likelihood of a lower-case word by language, less that of the best."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        found = self._words.get(word)
+        if found is None:
+            if len(self._words) > 400_000:
+                self._words.clear()
+            found = self._words[word] = self._word(word)
+        return found
+
+    def _word(self, word: str) -> np.ndarray:
+        if word in self.tables[0]:
+            return self.logs[self.tables[0][word]]
         for n in range(self.longest, 0, -1):
             table = self.tables[n]
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return np.mean(found, axis=0)
+            known = [table[g] for g in grams(word, n) if g in table]
+            if known:
+                return self.logs[known].sum(axis=0) / np.float32(len(known))
         return np.zeros(len(self.langs), dtype=np.float32)
 
     def part(self, part: str) -> tuple[np.ndarray, bool]:
         """Sum over the words in a piece of text without spaces, and whether it has a letter."""
         words = _WORD.findall(part.lower())
-        total = np.zeros(len(self.langs), dtype=np.float32)
-        for w in words:
-            total = total + self.word(w)
-        return total, bool(words) and any(map(str.isalpha, part))
+        if len(words) == 1:
+            return self.word(words[0]), any(map(str.isalpha, part))
+        return sum(map(self.word, words), np.zeros(len(self.langs), dtype=np.float32)), any(map(str.isalpha, part))
 
 
 def train(docs: DataFrame, learnable, per_language: int = 400, max_words: int = 20_000, max_grams: int = 20_000, longest: int = 4, max_languages: int = 200) -> Model:
