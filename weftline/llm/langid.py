@@ -79,7 +79,7 @@ class Model:
             floor = 0.5
             self.tables.append({f: len(logs) + i for i, f in enumerate(counts)})
             logs += [np.log((c + floor) / (total + floor * (len(counts) + 1))) for c in counts.values()]
-        self.logs = np.array(logs, dtype=np.float32).reshape(-1, len(self.langs))
+        self.logs = np.array(logs, dtype=np.float32).reshape(len(logs), len(self.langs))
         if len(self.langs):
             self.logs -= self.logs.max(axis=1, keepdims=True)
 
