@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -93,7 +94,7 @@ class MinimalPerfectHash:
 class ByteBPE:
     """Encoder and decoder for one ranks file; caches the words it has seen up to a bounded size."""
 
-    cache_bytes = 48 << 20
+    cache_bytes = 96 << 20
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
@@ -112,6 +113,7 @@ class ByteBPE:
         self.findall = regex.compile(pattern).findall
         self.slot_ids: list[int] = self.slot_id.tolist()
         self._ranks: dict[bytes, int] = {}
+        self._packed: dict[str, bytes] = {}  # ids of pre-tokens seen, but the longest
         self._spaced: dict[str, bytes | None] = {}
         self._bare: dict[str, bytes | None] = {}
         self._held = 0
@@ -166,12 +168,18 @@ class ByteBPE:
 
     def encode_pieces(self, pieces: list[list[str]]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of lists of pre-tokens."""
-        distinct = list({p for piece in pieces for p in piece})
+        packed = self._packed
+        if len(packed) > 500_000:
+            packed.clear()
+        distinct = [p for p in {p for piece in pieces for p in piece} if p not in packed]
         words = [p.encode("utf-8", "surrogatepass") for p in distinct]
-        packed: dict[str, bytes] = {}
         for p, word, r in zip(distinct, words, self.ranks(words), strict=True):
-            packed[p] = np.array([r] if r >= 0 else self.merge(word), dtype="<u4").tobytes()
-        return [b"".join([packed[p] for p in piece]) for piece in pieces]
+            packed[p] = array("I", [r] if r >= 0 else self.merge(word)).tobytes()
+        out = [b"".join([packed[p] for p in piece]) for piece in pieces]
+        for p in distinct:
+            if len(p) > 64:
+                del packed[p]
+        return out
 
     def _learn(self, cache: dict[str, bytes | None], lead: str, parts: Iterable[str]) -> None:
         """Fill a cache of words between single spaces. Words that touch other white space are marked None."""
