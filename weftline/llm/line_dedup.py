@@ -186,6 +186,8 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
             band, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "id"))
             if not len(ids):
                 continue
+            order = np.lexsort((ids, band))
+            band, ids = band[order], ids[order]
             first = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (ids[1:] != ids[:-1]))))
             spread = np.diff(np.append(first, len(ids)))
             band, ids = band[first], ids[first]
@@ -214,7 +216,7 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
         yield from emit(*close())
 
     n = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = bands.repartition(n, "band").sortWithinPartitions("band", "id")
+    ordered = bands.repartition(n, "band").sortWithinPartitions("band")  # one key: sorted by its bits; ids are put in order by batch
     return ordered.mapInArrow(run, "kind int, a long, b long")
 
 
@@ -288,10 +290,21 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = ones.groupBy("band").count().where("count > 1").select("band")
     again = _proposals(ones.select("band", "id").join(several, "band", "left_semi"), all_pairs)
     more = materialize(_distinct_pairs(again).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(texts, more, threshold))
-        roots = connected_components(links, "a", "b", "line-cc")
-    return occurrences, roots
+    return occurrences, _joined(roots, _verified(texts, more, threshold))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links: components are found among the old roots that the links connect."""
+    for side in ("a", "b"):
+        of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        links = links.join(of_side, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    links = materialize(links.where("a_root != b_root").select("a_root", "b_root").distinct(), "root-links")
+    if links.isEmpty():
+        return roots
+    merged = materialize(connected_components(links, "a_root", "b_root", "root-cc"), "merged-roots")
+    new = merged.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    newer = merged.select(F.col("node").alias("root"), F.col("root").alias("newer"))
+    return roots.unionByName(new).join(newer, "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
 
 
 def _distinct_pairs(proposed: DataFrame) -> DataFrame:
@@ -303,8 +316,9 @@ def kept_lines(occurrences: DataFrame, roots: DataFrame) -> DataFrame:
     first = occurrences.groupBy("id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "doc_key")).alias("first")
     )
-    grouped = first.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    winners = grouped.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    roots = roots.withColumnRenamed("node", "id")
+    linked = first.join(roots, "id").groupBy("root").agg(F.min("first").alias("first")).select("first")
+    winners = first.join(roots, "id", "left_anti").select("first").unionByName(linked)  # most lines have no link
     return winners.groupBy("first.doc_id", "first.doc_key").agg(F.collect_list("first.line_no").alias("kept"))
 
 
