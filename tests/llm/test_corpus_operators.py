@@ -123,7 +123,7 @@ def test_line_dedup_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_line_dedup(list(enumerate(texts)))
 
 
-def test_line_dedup_second_round_joins_large_buckets(spark):
+def test_line_dedup_joins_large_buckets(spark):
     """More lines in a bucket than get all their pairs."""
     rng = np.random.default_rng(6)
     base = ["w%d" % i for i in range(60)]
@@ -144,6 +144,31 @@ def test_line_dedup_second_round_joins_large_buckets(spark):
     assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in expected.values() if len(x) > 1)
 
 
+@pytest.mark.parametrize("block_shingles", [500, 1 << 20])
+def test_line_dedup_joins_large_buckets_exactly(spark, block_shingles):
+    """Buckets of families whose lines are near only some of the others, in one block and in many."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(120):
+        own = ["w%d" % i for i in range(60)]
+        for i in rng.choice(60, rng.integers(0, 7), replace=False):
+            own[i] = "x%d" % rng.integers(1000)
+        texts.append(" ".join(own))
+    lines = sorted(set(texts))
+    ids = [line_dedup.line_id(x) for x in lines]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    # one bucket that holds all lines, each a component of its own
+    members = spark.createDataFrame([(1, i, i) for i in ids], "band long, id long, root long")
+    frame_of = spark.createDataFrame(list(zip(ids, lines, strict=True)), "id long, line string")
+    links = line_dedup._bucket_links(members, frame_of, 0.8, block_shingles).collect()
+    near = {frozenset((ids[i], ids[j])) for i, j in combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {frozenset(x) for x in links} <= near
+    found = spark.createDataFrame([tuple(x) for x in near], "a long, b long")
+    expected = common.connected_components(found, "a", "b").collect()
+    got = common.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
+    assert sorted(got) == sorted(expected) and len({r["root"] for r in got}) < len(got)
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -4,11 +4,13 @@ Lines are compared lower-cased with white space squeezed. Two are linked when th
 sets of ``shingle``-character shingles is at least ``threshold`` (a shorter line is one shingle of its own).
 Signatures: every shingle is hashed once and the least hash of each of ``bands * rows`` bins is kept, empty bins
 borrowing from the next full one. Lines that agree on a band share a bucket. A bucket of up to ``all_pairs``
-lines proposes all its pairs; a larger one proposes each line with its most widespread line (a near copy mostly
-differs less from the original than from another copy) and with its neighbour by id, and, in a second round, the
-same among one line of each component that is left in it. So the work is linear in a bucket's size; what the
-second round leaves apart is counted as different. Proposed pairs are verified exactly on their texts. Of each
-component the first line by (doc_id, line number) stays, wherever it is; lines without any word always stay.
+lines proposes all its pairs; a larger one first proposes each line with its most widespread line (a near copy
+mostly differs less from the original than from another copy) and with its neighbour by id, which is linear in its
+size. Proposed pairs are verified exactly on their texts. Large buckets in which several components are then left
+are joined exactly: lines of different components are compared wherever their sizes allow a link, in blocks of
+bounded size, and only links between components leave a block. So every pair of similar lines
+that shares a bucket ends in one component. Of each component the first line by (doc_id, line number) stays,
+wherever it is; lines without any word always stay.
 
 With 12 bands of 4 rows a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.9 practically
 always.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import connected_components, materialize, sliced
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 12, 4, 8, 0.8
+BLOCK_SHINGLES = 1 << 20  # shingles of a block of a large bucket: 4 MB
 FILTER_WORDS = 1 << 19  # 64-bit words of the filter on proposed lines: 4 MB whatever the input
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -153,7 +156,7 @@ def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
     """From rows (band, id), a row for each batch of documents that has the line: kind 0, a pair (a, b) of ids;
-    kind 1, a member b of the large bucket a, for the second round."""
+    kind 1, a member b of the large bucket a."""
 
     def pairs_of(ids: np.ndarray, spread: np.ndarray) -> tuple[list[np.ndarray], bool]:
         if len(ids) <= all_pairs:
@@ -282,26 +285,100 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialize(_distinct_pairs(proposed), "pairs")
     texts = _texts(docs, pairs, text_col)
     links = materialize(_verified(texts, pairs, threshold), "links")
-    roots = connected_components(links, "a", "b", "line-cc")
+    roots = materialize(connected_components(links, "a", "b", "line-cc"), "roots")
     large = proposed.where("kind = 1").select(F.col("a").alias("band"), F.col("b").alias("id"))
-    left = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    # one line of each component in each bucket that has several
-    ones = materialize(left.groupBy("band", "root").agg(F.min("id").alias("id")), "component-lines")
-    several = ones.groupBy("band").count().where("count > 1").select("band")
-    again = _proposals(ones.select("band", "id").join(several, "band", "left_semi"), all_pairs)
-    more = materialize(_distinct_pairs(again).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    return occurrences, _joined(roots, _verified(texts, more, threshold))
-
-
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` after further links: components are found among the old roots that the links connect."""
-    for side in ("a", "b"):
-        of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        links = links.join(of_side, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-    links = materialize(links.where("a_root != b_root").select("a_root", "b_root").distinct(), "root-links")
+    members = materialize(large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")), "members")
+    return occurrences, _merged(roots, _bucket_links(members, texts, threshold))
+
+
+def _bucket_links(members: DataFrame, texts: DataFrame, threshold: float, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) roots that a link joins, from members (band, id, root) of large buckets.
+
+    A bucket with several roots is cut into blocks of about ``block_shingles`` shingles; each two blocks, and each
+    with itself, meet in a group of their own, so no task holds more than two whatever the bucket's size.
+    """
+    several = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    rest = members.join(several, "band", "left_semi")
+    sets = materialize(_shingle_sets(texts.join(rest.select("id").distinct(), "id", "left_semi")), "line-shingles")
+    sized = rest.join(sets.select("id", F.size("shingles").cast("long").alias("size")), "id")
+    blocks = sized.groupBy("band").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
+    own = rest.join(blocks, "band").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root")
+
+    def linked(table: pa.Table) -> pa.Table:
+        a, b = _linked_roots(table.column("root").to_numpy(), table.column("own").to_numpy(), table.column("shingles").combine_chunks(), threshold)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    whole = dealt.join(sets, "id").select("band", "p", "q", "own", "root", "shingles")
+    return materialize(whole.groupBy("band", "p", "q").applyInArrow(linked, "a long, b long").distinct(), "root-links")
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles): the sorted set of shingle hashes of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "line", 2 << 20):
+            if not batch.num_rows:
+                continue
+            hashes, starts = shingle_hashes(batch.column("line").to_pylist())
+            sets = [np.unique(x) for x in np.split(hashes, starts[1:])]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int32)))], ["id", "shingles"])
+
+    return texts.select("id", "line").mapInArrow(run, "id long, shingles array<int>")
+
+
+def _linked_roots(roots: np.ndarray, own: np.ndarray, shingles: pa.ListArray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that join the components of a group of lines; lines of two blocks are compared across them only.
+
+    Shared shingles are counted exactly: the frequent ones of the group as bits, at most 64 for each shingle of
+    the group, the others by their lines. Lines of one component, or of too different sizes, are not compared.
+    """
+    labels, component = np.unique(roots, return_inverse=True)
+    left = len(labels)
+    if left < 2:
+        return [], []
+    offsets = shingles.offsets.to_numpy()
+    offsets, sizes = offsets - offsets[0], np.diff(offsets)
+    n, line = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    _, flat, often = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    frequent = (often * 64 >= n) & (often > 1)
+    column = np.cumsum(frequent) - 1
+    bits = np.zeros((n, int(frequent.sum()) // 64 + 1), dtype=np.uint64)
+    at = frequent[flat]
+    np.bitwise_or.at(bits, (line[at], column[flat[at]] // 64), np.uint64(1) << (column[flat[at]] % 64).astype(np.uint64))
+    at = ~frequent[flat] & (often[flat] > 1)
+    holder = line[at][np.argsort(flat[at], kind="stable")]
+    begins = np.concatenate(([0], np.cumsum(np.bincount(flat[at], minlength=len(often)))))
+    across, first, a, b = own.min() != own.max(), component.copy(), [], []
+    for i in range(n - 1):
+        later = (component[i + 1 :] != component[i]) & (sizes[i + 1 :] >= threshold * sizes[i]) & (sizes[i] >= threshold * sizes[i + 1 :])
+        if across:
+            later &= own[i + 1 :] != own[i]
+        found = np.flatnonzero(later) + i + 1
+        if not len(found):
+            continue
+        common = np.bitwise_count(bits[found] & bits[i]).sum(axis=1, dtype=np.int64)
+        some = [holder[begins[k] : begins[k + 1]] for k in flat[offsets[i] : offsets[i + 1]].tolist() if begins[k] < begins[k + 1]]
+        if some:
+            common += np.bincount(np.concatenate(some), minlength=n)[found]
+        for j in found[common >= threshold * (sizes[i] + sizes[found] - common)].tolist():
+            if component[i] != component[j]:  # not joined meanwhile
+                a.append(int(labels[first[i]]))
+                b.append(int(labels[first[j]]))
+                component[component == component[j]] = component[i]
+                left -= 1
+        if left == 1:
+            break
+    return a, b
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links between roots."""
     if links.isEmpty():
         return roots
-    merged = materialize(connected_components(links, "a_root", "b_root", "root-cc"), "merged-roots")
+    merged = materialize(connected_components(links, "a", "b", "root-cc"), "merged-roots")
     new = merged.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     newer = merged.select(F.col("node").alias("root"), F.col("root").alias("newer"))
     return roots.unionByName(new).join(newer, "root", "left").select("node", F.coalesce("newer", "root").alias("root"))
