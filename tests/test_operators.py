@@ -118,6 +118,13 @@ def test_components_of_random_graph(spark):
     assert all(got[n] == root[n] for n in got) and len(got) == len({n for a, b in edges if a != b for n in (a, b)})
 
 
+def test_components_of_a_long_path(spark):
+    path = [0, *range(100, 0, -1)]
+    links = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a int, b int")
+    got = dict(graph.components(graph.undirected(links, "a", "b")).collect())
+    assert got == dict.fromkeys(path, 0)
+
+
 def test_names_units_and_bands(spark):
     row = spark.range(1).select(
         C.canonical_id(F.lit(" 42 "), "ING_", digits=6), C.canonical_id(F.lit("ING_7"), "ING_", digits=6), C.canonical_id(F.lit("a b!c"), "GENE_"),

@@ -51,22 +51,28 @@ def pagerank(edges: DataFrame, src: str, dst: str, damping: float = 0.85, times:
     return rounds(base.select("node", (1 / F.col("n")).alias("rank")), step, times)
 
 
-def components(edges: DataFrame, times: int = 50) -> DataFrame:
-    """(node, component): the least node reachable, by label hops until nothing changes."""
-    both = both_ways(edges)
-    labels = both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (u, v): the least node reachable.
+
+    Alternating large-star and small-star rounds: each node points its larger neighbours, then its smaller ones,
+    at the least neighbour, until no edge changes. There is no limit of rounds.
+    """
+    nodes = both_ways(edges).select(F.col("u").alias("node")).distinct()
+    links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
-    for _ in range(times):
-        least = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("component").alias("m"))
-        hop = labels.join(least, "node").select("node", F.least("component", "m").alias("component"))
-        up = hop.toDF("component", "higher")
-        labels = hop.join(up, "component").select("node", F.col("higher").alias("component"))
-        labels = cut(labels)
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == before:
+    while True:
+        links = cut(links)
+        now = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if now == before or not now[0]:
             break
         before = now
-    return labels
+        both = both_ways(links)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return nodes.join(links, nodes.node == links.u, "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def random_walk(edges: DataFrame, left: str, right: str, seeds: DataFrame, restart: float = 0.2, times: int = 12) -> DataFrame:
