@@ -97,6 +97,29 @@ def test_pagerank_and_walk_equal_matrices(spark):
     assert [got.get(j, 0.0) for j in range(3)] == pytest.approx((x @ across).tolist())
 
 
+def test_pagerank_and_walk_converge(spark):
+    pairs = [(0, i) for i in range(1, 5)] + [(i, i + 4) for i in range(1, 5)]
+    m = np.zeros((9, 9))
+    for a, b in pairs:
+        m[a, b] = m[b, a] = 1
+    r = np.linalg.solve(np.eye(9) - 0.85 * m / m.sum(0), np.full(9, 0.15 / 9))
+    links = graph.both_ways(spark.createDataFrame(pairs, "u int, v int"))
+    got = dict(graph.pagerank(links, "u", "v", tol=1e-6).collect())
+    assert [got[i] for i in range(9)] == pytest.approx(r.tolist(), abs=1e-6)
+
+    n = 24
+    a = np.eye(n) + np.eye(n, k=1)
+    a[-1, 0] = 1  # a ring: the far side is twelve steps away
+    across, back = a / a.sum(1, keepdims=True), (a / a.sum(0)).T
+    x = s = np.eye(n)[0]
+    for _ in range(50):
+        x = 0.8 * (x @ across @ back) + 0.2 * s
+    links = spark.createDataFrame([(i, j) for i in range(n) for j in range(n) if a[i, j]], "l int, r int")
+    walk = graph.random_walk(links, "l", "r", spark.createDataFrame([("s", 0)], "seed string, l int"), times=50, tol=1e-6)
+    got = {w["r"]: w["score"] for w in walk.collect()}
+    assert [got.get(j, 0.0) for j in range(n)] == pytest.approx((x @ across).tolist(), abs=1e-5)
+
+
 def test_laplacian_equals_matrix(spark):
     w = np.array([[1, 0.5, 0], [0.5, 1, 0.2], [0, 0.2, 1]])
     x = np.array([1.0, 0.0, 4.0])

@@ -34,21 +34,51 @@ def rounds(frame: DataFrame, step: Callable[[DataFrame], DataFrame], times: int,
     return frame
 
 
-def pagerank(edges: DataFrame, src: str, dst: str, damping: float = 0.85, times: int = 10) -> DataFrame:
-    """Rank over distinct directed edges; mass of nodes without out-edges is spread evenly."""
+def until_steady(frame: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, tol: float, times: int | None = None, every: int = 2, total: bool = False) -> DataFrame:
+    """``step`` applied until no value of a key (with ``total``: not their sum) changes by ``tol`` between two cuts, or ``times`` rounds are done."""
+    before, done = cut(frame), 0
+    while times is None or done < times:
+        now = before
+        for _ in range(every if times is None else min(every, times - done)):
+            now, done = step(now), done + 1
+        now = cut(now)
+        signed = now.select(*keys, F.col(value).alias("c")).unionByName(before.select(*keys, (-F.col(value)).alias("c")))
+        change = signed.groupBy(*keys).agg(F.abs(F.sum("c")).alias("c"))
+        moved = change.agg(F.sum("c") if total else F.max("c")).first()[0]
+        before = now
+        if moved is None or moved < tol:
+            break
+    return before
+
+
+def pagerank(edges: DataFrame, src: str, dst: str, damping: float = 0.85, times: int = 10, tol: float | None = None) -> DataFrame:
+    """Rank over distinct directed edges; mass of nodes without out-edges is spread evenly.
+
+    With ``tol``, rounds go on until the summed change of all ranks is below it (a round shrinks it by ``damping``
+    at least, so they end); ``times`` holds without it.
+    """
     links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    if tol is not None:
+        links = cut(links)
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
     out = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     base = nodes.join(out, "node", "left").join(F.broadcast(nodes.agg(F.count("*").alias("n"))))
+    if tol is not None:
+        base = cut(base)
+    ends = tol is None or not base.where("out is null").isEmpty()
 
     def step(ranks: DataFrame) -> DataFrame:
         now = base.join(ranks, "node")
         lost = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = links.join(now.where("out is not null"), links.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.expr("rank / out")).alias("got"))
-        joined = base.join(got, "node", "left").join(F.broadcast(lost))
+        joined = base.join(got, "node", "left")
+        joined = joined.join(F.broadcast(lost)) if ends else joined.withColumn("lost", F.lit(0.0))
         return joined.select("node", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("rank"))
 
-    return rounds(base.select("node", (1 / F.col("n")).alias("rank")), step, times)
+    start = base.select("node", (1 / F.col("n")).alias("rank"))
+    if tol is not None:
+        return until_steady(start, step, ["node"], "rank", tol, every=2 if ends else 6, total=True)
+    return rounds(start, step, times)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,10 +105,11 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(links, nodes.node == links.u, "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def random_walk(edges: DataFrame, left: str, right: str, seeds: DataFrame, restart: float = 0.2, times: int = 12) -> DataFrame:
+def random_walk(edges: DataFrame, left: str, right: str, seeds: DataFrame, restart: float = 0.2, times: int = 12, tol: float | None = None) -> DataFrame:
     """Walk with restart on a bipartite graph: (seed, right, score) after the last hop from left to right.
 
     ``seeds`` has (seed, left); a seed starts with equal mass on its left nodes. Masses stay in long form.
+    With ``tol``, rounds end, at the latest after ``times``, when no mass changes by it between two cuts.
     """
     links = edges.select(F.col(left).alias("l"), F.col(right).alias("r")).distinct()
     to_r = links.withColumn("w", 1 / F.count("*").over(Window.partitionBy("l")))
@@ -93,7 +124,9 @@ def random_walk(edges: DataFrame, left: str, right: str, seeds: DataFrame, resta
         both = back.join(start, ["seed", "l"], "full")
         return both.select("seed", "l", ((1 - restart) * F.coalesce("m", F.lit(0.0)) + restart * F.coalesce("m0", F.lit(0.0))).alias("m"))
 
-    return across(rounds(start.withColumnRenamed("m0", "m"), step, times)).toDF("seed", right, "score")
+    first = start.withColumnRenamed("m0", "m")
+    mass = rounds(first, step, times) if tol is None else until_steady(first, step, ["seed", "l"], "m", tol, times)
+    return across(mass).toDF("seed", right, "score")
 
 
 def laplacian_smooth(scores: DataFrame, similar: DataFrame, alpha: float = 0.2, times: int = 2) -> DataFrame:
