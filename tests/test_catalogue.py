@@ -28,3 +28,19 @@ def test_query(spark, sf_dir, con, name):
     expected = con.sql(f"SELECT {quoted} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert sorted(d[0] for d in con.sql(catalogue.ORACLE_SQL[name]).description) == columns
     assert rows == sorted(map(str, expected))
+
+
+def test_whole_trade_graph(spark, sf_dir, con):
+    """Ranks and components hold every customer with lines and every supplier, against union by hand."""
+    edges = con.sql("SELECT DISTINCT o_custkey, l_suppkey + 1000000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey").fetchall()
+    root = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    assert dict(catalogue.QUERIES["connected_components_all"](spark, sf_dir).collect()) == root
+    ranks = dict(catalogue.QUERIES["pagerank"](spark, sf_dir).collect())
+    assert ranks.keys() == root.keys() and sum(ranks.values()) == pytest.approx(1)
