@@ -412,3 +412,10 @@ def test_hashes_ignore_surplus(spark):
     assert io.BytesIO(jpeg.store([bytes(64)])[0]).read(2) == b"\xff\xd8"
     assert licenses.needed_tokens(5) == 4 and licenses.needed_tokens(3) == 3
     assert Row(a=1)
+
+
+def test_license_score_does_not_depend_on_position(spark):
+    passages = ["all rights are hereby reserved", "all of the rights reserved", "all rights not expressly granted reserved"]
+    texts = [(f"{i}-{k}", "word " * k + p + " word") for i, p in enumerate(passages) for k in range(7)]
+    rows = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert {(r["labels"], r["score"]) for r in rows} == {("all-rights-reserved", 1.0)} and len(rows) == 21

@@ -3,10 +3,10 @@
 The templates are a constant table, so the join is a map-side one: each row probes it, nothing is shuffled. A
 first pass counts in how many documents each template token occurs and orders every template from its rarest
 token on. A block matches when it holds at least ``ceil(threshold * size)`` of a template's tokens, hence
-(prefix filter) one of its ``size - needed + 1`` rarest. Blocks of a template of n tokens are the windows of 2n
-words that start every n words, so any run of n words lies whole in one. Only blocks that hold a prefix token are
-looked at; those too short (length filter) or whose rarest hit leaves too few tokens after it (positional filter)
-are passed over; the others are verified exactly.
+(prefix filter) one of its ``size - needed + 1`` rarest. Blocks of a template of n tokens are all windows of 2n
+words. A window loses no token when it is moved to its first one, so only windows that start at a template token
+and hold a prefix token are looked at; those too short (length filter) or with too few places of template tokens
+(positional filter) are passed over; the others are verified exactly.
 
 Labels: those of the base phrases, and the templates' own. Score: the greatest containment of a matching block,
 1 where a base phrase stands.
@@ -77,12 +77,14 @@ def _matching_scores(ordered: list[str]) -> str:
     """SQL for the containments of the matching blocks of a template whose tokens are given rarest first."""
     n, need = len(ordered), needed_tokens(len(ordered))
     prefix, every = _sql_array(ordered[: n - need + 1]), _sql_array(ordered)
-    hits = f"filter(transform(words, (w, i) -> if(array_contains({prefix}, w), i, -1)), i -> i >= 0)"
-    blocks = f"array_distinct(flatten(transform({hits}, i -> array(i div {n}, greatest(i div {n} - 1, 0)))))"
-    found = f"transform({blocks}, b -> array_intersect({every}, slice(words, int(b * {n} + 1), {2 * n})))"
-    # found keeps the template's order: the place of its first token bounds what can follow
-    able = f"filter({found}, m -> size(m) > 0 AND {n} - array_position({every}, m[0]) + 1 >= {need})"
-    return f"transform(filter({able}, m -> size(m) >= {need}), m -> size(m) / {n}D)"
+    places = lambda tokens: f"filter(transform(words, (w, i) -> if(array_contains({tokens}, w), i, -1)), i -> i >= 0)"
+    # the places are bound once, as the element of an array
+    bound = f"if(arrays_overlap(words, {prefix}), array(named_struct('p', {places(every)}, 'h', {places(prefix)})), cast(array() as array<struct<p:array<int>,h:array<int>>>))"
+    long_enough = f"size(words) - b >= {need} AND size(s.p) >= {need}"
+    held = f"exists(s.h, h -> h >= b AND h < b + {2 * n}) AND size(filter(s.p, j -> j >= b AND j < b + {2 * n})) >= {need}"
+    able = f"flatten(transform({bound}, s -> filter(s.p, b -> {long_enough} AND {held})))"
+    found = f"transform({able}, b -> size(array_intersect({every}, slice(words, int(b + 1), {2 * n}))))"
+    return f"transform(filter({found}, m -> m >= {need}), m -> m / {n}D)"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
