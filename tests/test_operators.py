@@ -48,6 +48,13 @@ def test_isotonic():
     assert stats.isotonic([(1, 1, 1), (2, 3, 1), (3, 2, 1), (4, 5, 2)]) == [(1, 1), (2, 2.5), (3, 2.5), (4, 5)]
 
 
+def test_pathway_permutation_reaches_a_thousandth(spark):
+    sets = spark.createDataFrame([(i, "strong" if i < 5 else "weak" if i < 10 else "rest") for i in range(200)], "g int, p string")
+    members = spark.createDataFrame([("e", i, 1.0) for i in range(5)] + [("e", i, 0.0) for i in range(5, 10)] + [("e", 20, 1.0)], "e string, g int, w double")
+    rows = {r["p"]: r for r in stats.pathway_permutation_p(members, sets.withColumnRenamed("p", "path"), "e", "g", "path", "w").withColumnRenamed("p", "value").withColumnRenamed("path", "p").collect()}
+    assert rows["strong"]["value"] == 0.001 and rows["strong"]["observed"] == 5.0 and rows["weak"]["value"] == 1.0 and set(rows) == {"strong", "weak"}
+
+
 @pytest.mark.parametrize(("ic", "cg", "shared", "passes"), [(60_000, 56, 32, True), (1000, 0, 5, True), (50_000, 88, 0, False), (1980, 480, 20, True), (50_000, 0, 30, True)])
 def test_overlap_gate(spark, ic, cg, shared, passes):
     a = spark.range(ic + shared).select(F.col("id").alias("k"))

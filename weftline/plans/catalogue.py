@@ -156,7 +156,7 @@ def mediation_two_ols(t):
 
 def bootstrap_ci(t):
     """#132, by Poisson weights; rows only."""
-    return stats.bootstrap_mean(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", 50)
+    return stats.bootstrap_mean(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", 200)
 
 
 query()(bootstrap_ci)
@@ -435,9 +435,11 @@ def enrichment_bh(t):
 
 @query()
 def permutation_enrichment(t):
-    """#124; rows only."""
-    rows = _enriched(t).select(F.col("entity"), F.col("fold"), (F.col("q") < 0.5).alias("hit"))
-    return stats.permutation_p(rows, "entity", "hit", "fold")
+    """#124: 999 shuffles of the gene weights of each entity over the universe; rows only."""
+    m = t("lineitem").where("l_quantity >= 48").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    m = m.groupBy(F.col("c_mktsegment").alias("entity"), F.col("l_partkey").alias("gene")).agg((F.max("l_discount") * 10).alias("weight"))
+    sets = t("part").select(F.col("p_partkey").alias("gene"), F.col("p_size").alias("pathway"))
+    return stats.pathway_permutation_p(m, sets, "entity", "gene", "pathway", "weight")
 
 
 def vectors(t: Callable) -> DataFrame:
