@@ -390,7 +390,7 @@ def pagerank(t):
 
 @query()
 def rwr_bipartite(t):
-    """#163-164; D18: walked once, up to the reference's 50 rounds and tolerance; tested against dense matrices."""
+    """#163; D18: walked once, up to the reference's 50 rounds and tolerance; tested against dense matrices."""
     links = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
     seeds = t("supplier").select(F.col("s_nationkey").alias("seed"), F.col("s_suppkey").alias("l"))
     return graph.random_walk(links, "l_suppkey", "p_brand", seeds, times=50, tol=1e-6)
@@ -407,7 +407,7 @@ def laplacian_smooth(t):
 @query("""WITH RECURSIVE e AS (SELECT n_name AS c, r_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 w(node, root, path) AS (SELECT DISTINCT p, p, [p] FROM e WHERE p NOT IN (SELECT c FROM e) UNION ALL SELECT c, root, list_prepend(c, path) FROM w JOIN e ON p = node) SELECT node, root, array_to_string(path, ' > ') AS path FROM w""")
 def hierarchy_path(t):
-    """#166-167."""
+    """#166."""
     nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("c"), F.col("r_name").alias("p"))
     suppliers = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("c"), F.col("n_name").alias("p"))
     return graph.ancestor_paths(nations.unionByName(suppliers), "c", "p").select("node", "root", F.array_join("path", " > ").alias("path"))
@@ -417,7 +417,7 @@ def hierarchy_path(t):
 SELECT entity, pathway, count(*) AS k, any_value(z.n) AS pathway_k, any_value(d.n) AS n, round(count(*) / any_value(z.n) / (any_value(d.n) / (SELECT count(*) FROM s)), 6) AS fold FROM m JOIN s USING (gene)
 JOIN (SELECT pathway, count(*) AS n FROM s GROUP BY 1) z USING (pathway) JOIN (SELECT entity, count(*) AS n FROM m GROUP BY 1) d USING (entity) GROUP BY 1, 2""")
 def enrichment_counts(t):
-    """#119-120 without the tail."""
+    """#119 without the tail: counts and fold."""
     return rounded(_enriched(t).select("entity", "pathway", "k", "pathway_k", "n", "fold"))
 
 
@@ -494,7 +494,7 @@ def name_normalize(t):
 
 @query("SELECT event_id, CASE WHEN (props::JSON->>'k')::DOUBLE BETWEEN 1 AND 50 THEN (props::JSON->>'k')::DOUBLE END AS nm FROM events")
 def quantity_parse(t):
-    """#33, #110: a number with a comparison sign and thousands commas out of JSON."""
+    """#33: a number with a comparison sign and thousands commas out of JSON."""
     text = F.concat(F.lit("<= "), F.get_json_object("props", "$.k"))
     return t("events").select("event_id", C.affinity_nm(F.regexp_replace(text, "= ", ""), 50.0).alias("nm"))
 
@@ -573,7 +573,7 @@ def stratified_sample(t):
 
 @query("""WITH f AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT s_nationkey, l_suppkey, n, quantile_cont(n, 0.75) OVER (PARTITION BY s_nationkey) AS cut FROM f JOIN supplier ON l_suppkey = s_suppkey) SELECT s_nationkey, l_suppkey, n FROM g WHERE n >= cut""")
 def high_conf_p75(t):
-    """#78, #188."""
+    """#78."""
     f = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     cut = F.percentile("n", 0.75).over(Window.partitionBy("s_nationkey"))
     return f.withColumn("cut", cut).where("n >= cut").select("s_nationkey", "l_suppkey", "n")
