@@ -11,17 +11,19 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="weftline-"))
         atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
@@ -39,6 +41,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it (case ignored)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def first_by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """About the ``most`` rows of each group that are least by a hash of ``key``, never more: (group, key), for joins.
+
+    Groups are counted on the map side; rows whose hash lies beyond a bound that about ``most`` and a half rows of their
+    group are under never leave it, so what a group sends to one task has a size that does not grow with the group.
+    """
+    share = F.least(F.lit(1.0), (1.5 * most + 50) / F.col("__n"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    hashed = rows.select(group, key).withColumn("__h", F.xxhash64(key))
+    near = hashed.join(F.broadcast(counts.select(group, (share * float(1 << 63)).alias("__bound"))), group)
+    near = near.where(F.abs(F.col("__h").cast("double")) <= F.col("__bound"))
+    least = Window.partitionBy(group).orderBy("__h", key)
+    return near.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= most).select(group, key)
+
+
 def texts_of(batch: pa.RecordBatch, column: str, as_bytes: bool = False) -> list:
     """Values of a string column, null as empty."""
     values = batch.column(column)
