@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
+from weftline.functions import texts
 from weftline.operators import basket, evidence, graph, profiles, similarity, stats
 from weftline.sources import io
 from weftline.streaming.pairs import windowed_counts
@@ -158,10 +159,10 @@ def test_components_of_a_long_path(spark):
 def test_names_units_and_bands(spark):
     row = spark.range(1).select(
         C.canonical_id(F.lit(" 42 "), "ING_", digits=6), C.canonical_id(F.lit("ING_7"), "ING_", digits=6), C.canonical_id(F.lit("a b!c"), "GENE_"),
-        C.singular(F.lit("berries")), C.singular(F.lit("tomatoes")), C.singular(F.lit("cress")), C.affinity_nm(F.lit(">1,200.5")), C.affinity_nm(F.lit("x")),
-        C.similarity_band(F.lit(1.0)), C.tier(F.lit(0.1)), C.interpolated(F.lit(0.45), [(0.3, 0.1), (0.6, 0.4)]), C.lipid_like(F.lit("PC(18:1)")),
+        texts.singular_last(F.lit("red berries")), texts.singular_last(F.lit("dishes")), texts.singular_token(F.lit("leaves")), C.affinity_nm(F.lit(">1,200.5")), C.affinity_nm(F.lit("x")),
+        C.similarity_band(F.lit(1.0)), C.tier(F.lit(0.1)), C.interpolated(F.lit(0.45), [(0.3, 0.1), (0.6, 0.4)]), texts.lipid_like(F.lit("CE(18:1)")) & ~texts.lipid_like(F.lit("cer(1)")) & ~texts.lipid_like(F.lit("pc(1)")),
     ).first()
-    assert list(row[:10]) == ["ING_000042", "ING_7", "GENE_a_bc", "berry", "tomato", "cress", 1200.5, None, 0.9, "withheld"]
+    assert list(row[:10]) == ["ING_000042", "ING_7", "GENE_a_bc", "red berry", "dish", "leaf", 1200.5, None, 0.9, "withheld"]
     assert row[10] == pytest.approx(0.25) and row[11]
 
 

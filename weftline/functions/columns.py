@@ -34,20 +34,20 @@ def name_words(name: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: ~w.isin(*MODIFIERS) & (w != "")), " ")
 
 
-def singular(word: Column) -> Column:
-    """Last-word singular: ies to y, oes to o, es and s dropped; ss stays."""
-    return (
-        F.when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.endswith("oes"), F.regexp_replace(word, "oes$", "o"))
-        .when(word.endswith("ss"), word)
-        .otherwise(F.regexp_replace(word, "s$", ""))
-    )
+def affinity_nm(text: Column, most: float = 10_000.0, zero: bool = False) -> Column:
+    """Numbers written with a leading comparison or thousands commas; null outside (0, most], 0 allowed with ``zero``."""
+    value = F.regexp_replace(F.trim(text), r"^[<>=~]+\s*|,", "").try_cast("double")
+    return F.when(((value >= 0) if zero else (value > 0)) & (value <= most), value)
 
 
-def affinity_nm(text: Column, most: float = 10_000.0) -> Column:
-    """Numbers written with a leading comparison or thousands commas; null outside (0, most]."""
-    value = F.regexp_replace(F.trim(text), r"^[<>=~]+|,", "").try_cast("double")
-    return F.when((value > 0) & (value <= most), value)
+def to_nm(value: Column, unit: Column) -> Column:
+    """Nanomolar from nM or uM; null for other units."""
+    return value * F.when(F.lower(unit) == "nm", 1.0).when(F.lower(unit) == "um", 1000.0)
+
+
+def active(nm: Column, least: float = 6.0) -> Column:
+    """Is the negative logarithm of the molar value at least ``least``; null where there is no positive value."""
+    return F.when(nm > 0, F.round(9 - F.log10(nm), 6) >= least)
 
 
 def tier(confidence: Column) -> Column:
@@ -81,8 +81,3 @@ def cosine(a: Column, b: Column) -> Column:
 
 def set_jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
-
-
-def lipid_like(name: Column) -> Column:
-    """Names of lipid classes."""
-    return F.lower(name).rlike(r"^(pc|pe|ps|pi|pg|pa|tg|dg|mg|cer|sm|lpc)\(|-coa$|phospho")

@@ -141,20 +141,30 @@ def laplacian_smooth(scores: DataFrame, similar: DataFrame, alpha: float = 0.2,
     return rounds(scores, step, times)
 
 
-def ancestor_paths(edges: DataFrame, child: str, parent: str, depth: int = 20) -> DataFrame:
-    """(node, root, path): the shortest way up, parents in alphabetical order, as the recursive SQL would find it."""
-    links = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct()
+def ancestor_paths(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, root, path): the shortest way up, parents in alphabetical order, as the recursive SQL would find it.
+
+    Levels go down from the roots; each is cut off from those before, so the cost is linear in the depth.
+    """
+    links = cut(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct())
     roots = links.select(F.col("p").alias("node")).distinct().join(links.select(F.col("c").alias("node")), "node", "left_anti")
-    level = roots.select("node", F.col("node").alias("root"), F.array("node").alias("path"))
-    found = level
-    for _ in range(depth):
-        grown = links.join(level, links.p == level.node).select(F.col("c").alias("node"), "root", F.concat(F.array("c"), "path").alias("path"))
+    level = found = cut(roots.select("node", F.col("node").alias("root"), F.array("node").alias("path")))
+    while True:
+        grown = links.join(level, links.p == level.node).select(F.col("c").alias("node"), F.concat(F.array("c"), "path").alias("path"))
         best = grown.groupBy("node").agg(F.min("path").alias("path")).join(found.select("node"), "node", "left_anti")
-        level = best.select("node", F.element_at("path", -1).alias("root"), "path")
+        level = cut(best.select("node", F.element_at("path", -1).alias("root"), "path"))
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+
+
+def nearest_slim(paths: DataFrame, slim: DataFrame, depth: int = 2) -> DataFrame:
+    """(node, slim): the nearest ancestor on the path that is in ``slim`` (node, priority; least first where two are as near),
+    else the ancestor ``depth`` below the root, else the node itself."""
+    steps = paths.select("node", "path", F.posexplode("path").alias("far", "step"))
+    hits = steps.join(slim.toDF("step", "priority"), "step").groupBy("node").agg(F.min(F.struct("far", "priority", "step")).alias("hit"))
+    other = F.when(F.size("path") > depth, F.element_at("path", F.lit(-1 - depth))).otherwise(F.col("node"))
+    return paths.join(hits, "node", "left").select("node", F.coalesce("hit.step", other).alias("slim"))
 
 
 def neighbours(edges: DataFrame, node: object, kind: str | None = None, limit: int = 40) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.stats import benjamini_hochberg, hypergeometric_p
+from weftline.operators.stats import benjamini_hochberg, hypergeometric_p, normal_tail, ranked
 
 
 def top_per_group(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -55,6 +55,62 @@ def enrichment(members: DataFrame, sets: DataFrame, entity: str, gene: str, path
     return benjamini_hochberg(out, "p", [pathway], [entity])
 
 
+def weighted_enrichment(members: DataFrame, sets: DataFrame, least: int = 3) -> DataFrame:
+    """entity x pathway hits of ``least`` genes with the tail p, q within the entity, folds by count, confidence and gene IDF,
+    the measured and predicted parts, the drivers (by confidence, then gene), baseline reach, and two more p: with rounded
+    weight sums for sizes (``least`` at least), and by a normal approximation of the overlap weight.
+
+    ``members`` has entity, gene, confidence, measured, a gene of an entity once; M counts genes in sets, and the IDF of a
+    gene is over pathways.
+    """
+    sets = sets.select("gene", "pathway").distinct()
+    universe = sets.agg(F.countDistinct("gene").cast("double").alias("universe"), F.countDistinct("pathway").cast("double").alias("n_pathways"))
+    rare = sets.groupBy("gene").agg(F.count("*").alias("d")).join(F.broadcast(universe)).select("gene", F.ln(F.col("n_pathways") / F.col("d")).alias("idf"))
+    own = members.join(rare, "gene")
+    entities = own.groupBy("entity").agg(F.count("*").alias("n"), F.sum("confidence").alias("weight"))
+    pathways = sets.join(rare, "gene").groupBy("pathway").agg(F.count("*").alias("pathway_k"), F.sum("idf").alias("pathway_idf"))
+    measured = F.when(F.col("measured"), F.col("confidence"))
+    hits = own.join(sets, "gene").groupBy("entity", "pathway").agg(
+        F.count("*").alias("k"), F.sum("confidence").alias("weighted_observed"), F.coalesce(F.sum(measured), F.lit(0.0)).alias("weighted_measured"), F.count(measured).alias("n_measured"),
+        F.sum("idf").alias("idf_observed"), F.sum(F.col("confidence") * (1 - F.col("confidence"))).alias("__var"),
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "gene", "confidence", "measured"))), lambda d: F.struct(d["gene"].alias("gene"), d["confidence"].alias("confidence"), d["measured"].alias("measured"))).alias("drivers"),
+    ).where(F.col("k") >= least)
+    reach = hits.groupBy("pathway").agg(F.count("*").alias("__r")).join(F.broadcast(members.agg(F.countDistinct("entity").alias("__e")))).select("pathway", (F.col("__r") / F.col("__e")).alias("baseline_fraction"))
+    out = hits.join(pathways, "pathway").join(entities, "entity").join(reach, "pathway").join(F.broadcast(universe))
+    share = F.col("pathway_k") / F.col("universe")
+    mean = F.col("weight") * share
+    size = F.greatest(F.lit(least), F.rint("weight").cast("long"))
+    found = F.least(F.greatest(F.lit(least), F.rint("weighted_observed").cast("long")), size, F.col("pathway_k"))
+    pool = F.col("universe").cast("long")
+    out = out.withColumns({
+        "expected": F.col("n") * share, "fold": F.col("k") / (F.col("n") * share), "weighted_fold": F.coalesce(F.try_divide(F.col("weighted_observed"), mean), F.lit(0.0)),
+        "idf_weighted_fold": F.coalesce(F.try_divide(F.col("idf_observed"), F.col("weight") / F.col("universe") * F.col("pathway_idf")), F.lit(0.0)),
+        "n_predicted": F.col("k") - F.col("n_measured"), "weighted_predicted": F.col("weighted_observed") - F.col("weighted_measured"),
+        "p": F.round(hypergeometric_p(F.col("k"), pool, F.col("pathway_k"), F.col("n")), 12), "p_effective": hypergeometric_p(found, pool, F.col("pathway_k"), size),
+        "p_normal": normal_tail(F.try_divide(F.col("weighted_observed") - mean, F.sqrt(F.col("__var") + mean * (1 - share))), sides=1),
+    })
+    out = benjamini_hochberg(out, "p", ["pathway"], ["entity"])
+    return out.select("entity", "pathway", "k", "pathway_k", "n", "expected", "fold", "p", "q", "weighted_fold", "idf_weighted_fold", "n_measured", "n_predicted", "weighted_observed", "weighted_measured", "weighted_predicted", "baseline_fraction", "p_effective", "p_normal", "drivers")
+
+
+def null_calibration(members: DataFrame, sets: DataFrame, threshold: float, least: int, seed: int) -> DataFrame:
+    """One row: entities and the share of them with any q under ``threshold`` when their genes are drawn at random.
+
+    Every entity keeps its number of genes and their confidences; which genes carry them goes by a hash with the seed.
+    """
+    genes = sets.select("gene").distinct()
+    numbered = ranked(genes.withColumn("__h", F.xxhash64(F.lit(seed), "gene")), ["__h", "gene"]).select("gene", (F.col("__rank") - 1).alias("place"), F.col("__n").alias("pool"))
+    by_hash = Window.partitionBy("entity").orderBy(F.xxhash64(F.lit(seed + 1), "gene"), "gene")
+    own = members.join(genes, "gene", "left_semi").withColumn("r", F.row_number().over(by_hash))
+    # a step that is odd and prime walks over the pool without meeting a gene twice; each entity starts elsewhere
+    pool = numbered.agg(F.max("pool").alias("pool"))
+    step = F.pmod(F.xxhash64(F.lit(seed + 2), "entity"), F.col("pool")) + (F.col("r") - 1) * F.lit(1_000_003)
+    drawn = own.join(F.broadcast(pool)).withColumn("place", F.pmod(step, F.col("pool"))).drop("gene", "pool").join(numbered.drop("pool"), "place")
+    found = weighted_enrichment(drawn.select("entity", "gene", "confidence", "measured"), sets, least)
+    hits = found.groupBy("entity").agg(F.min("q").alias("q"))
+    return members.select("entity").distinct().join(hits, "entity", "left").agg(F.count("*").alias("entities"), F.avg((F.coalesce("q", F.lit(1.0)) < threshold).cast("double")).alias("share_significant"))
+
+
 def leave_one_out(rows: DataFrame, whole: str, part: str, dim: str, value: str, unique_at: float = 0.12) -> DataFrame:
     """By part: how far the whole's normalised profile moves without it: half L1, half 1 - cosine."""
     own = rows.groupBy(whole, part, dim).agg(F.sum(value).alias("v"))

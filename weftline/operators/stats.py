@@ -3,26 +3,77 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import cut
+
+
+def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with __part, their place in a range partition by ``order``, __rank over all rows and __n, their number.
+
+    Rows are sorted by range; only the counts of the partitions are gathered, so no task holds more than a range.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dict(dealt.groupBy("__part").count().collect())  # one row a partition
+    before, at = {}, 0
+    for part in sorted(counts):
+        before[part] = at
+        at += counts[part]
+    if not before:
+        return dealt.withColumns({"__rank": F.lit(0).cast("long"), "__n": F.lit(0).cast("long")})
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__part"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumns({"__rank": (within + offset).cast("long"), "__n": F.lit(at).cast("long")})
+
 
 def benjamini_hochberg(rows: DataFrame, p: str, key: list[str], by: list[str] | None = None) -> DataFrame:
     """``rows`` with q: p * n / rank, the least from the largest p down, at most 1. Null p counts as 1. ``key`` breaks ties.
 
-    Without ``by`` the ranking of all rows takes one sorted partition: give groups where tests are many.
+    Groups are ranked in windows. Without ``by`` all rows are ranked by ranges: each carries the least ratio of its own
+    range from there on and that of all later ranges, of which one number a range is gathered.
     """
-    by = by or []
     value = F.coalesce(F.col(p), F.lit(1.0))
-    up = Window.partitionBy(*by).orderBy(value, *key)
-    down = Window.partitionBy(*by).orderBy(F.desc(value), *[F.desc(k) for k in key])
-    ratio = value * F.count("*").over(Window.partitionBy(*by)) / F.row_number().over(up)
-    out = rows.withColumn("__ratio", ratio)
-    q = F.least(F.lit(1.0), F.min("__ratio").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("q", q).drop("__ratio")
+    if by:
+        up = Window.partitionBy(*by).orderBy(value, *key)
+        down = Window.partitionBy(*by).orderBy(F.desc(value), *[F.desc(k) for k in key])
+        ratio = value * F.count("*").over(Window.partitionBy(*by)) / F.row_number().over(up)
+        out = rows.withColumn("__ratio", ratio)
+        q = F.least(F.lit(1.0), F.min("__ratio").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        return out.withColumn("q", q).drop("__ratio")
+    placed = ranked(rows.withColumn("__p", value), ["__p", *key]).withColumn("__ratio", F.expr("__p * __n / __rank"))
+    least = dict(placed.groupBy("__part").agg(F.min("__ratio")).collect())
+    later, low = {}, 1.0
+    for part in sorted(least, reverse=True):
+        later[part] = low
+        low = min(low, least[part])
+    rest = F.element_at(F.create_map(*[F.lit(x) for pair in later.items() for x in pair]), F.col("__part")) if later else F.lit(1.0)
+    down = Window.partitionBy("__part").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("q", F.least(rest, F.min("__ratio").over(down))).drop("__part", "__rank", "__n", "__p", "__ratio")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, probabilities: list[float], names: list[str]) -> DataFrame:
+    """Exact interpolated quantiles of each group, by rank: no task holds the values of a group."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.select(*by, value).where(F.col(value).isNotNull()).repartitionByRange(parts, *by, value).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumns({"before": F.coalesce(before, F.lit(0)), "n": F.sum("c").over(Window.partitionBy(*by))})
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(probabilities)]))
+    places = counts.select(*by, "__part", "before", "c", wanted.alias("w")).select(*by, "__part", "before", "c", "w.*")
+    places = places.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("rank >= before AND rank < before + c")
+    places = places.withColumn("__row", (F.col("rank") - F.col("before") + 1).cast("int")).select(*by, "__part", "__row", "rank", "i", "at")
+    numbered = dealt.withColumn("__row", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(value)))
+    near = numbered.join(F.broadcast(places), [*by, "__part", "__row"])  # two rows a probability and group
+    share = F.when(F.col("at") == F.col("rank"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("rank")))
+    return near.groupBy(*by).agg(*[F.sum(F.when(F.col("i") == i, F.col(value) * share)).alias(name) for i, name in enumerate(names)])
 
 
 def stratified_did(rows: DataFrame, by: list[str], stratum: str, a: str, b: str, y: str, least: int = 2, inverse_variance: bool = False) -> DataFrame:
@@ -72,24 +123,47 @@ def hypergeometric_tail(k: int, pool: int, marked: int, drawn: int) -> float:
     return min(1.0, math.exp(most) * math.fsum(math.exp(x - most) for x in logs))
 
 
+def _distinct(frame: pd.DataFrame, f: Callable) -> pd.Series:
+    """``f`` on the distinct rows without nulls; null elsewhere."""
+    known = frame.dropna()
+    keys = list(map(tuple, known.to_numpy(dtype=float)))
+    table = {k: f(*k) for k in set(keys)}
+    return pd.Series([table[k] for k in keys], index=known.index, dtype=float).reindex(frame.index)
+
+
 def hypergeometric_p(k: Column, pool: Column, marked: Column, drawn: Column) -> Column:
-    """Column of tails, in Arrow batches."""
+    """Column of tails, in Arrow batches, each distinct case once; null where an argument is."""
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, pool: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric_tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, pool, marked, drawn, strict=True)], dtype=float)
+        return _distinct(pd.concat([k, pool, marked, drawn], axis=1, keys=range(4)), lambda a, b, c, d: hypergeometric_tail(int(a), int(b), int(c), int(d)))
 
     return tail(k, pool, marked, drawn)
 
 
+def normal_tail(z: Column, sides: int = 2) -> Column:
+    """Upper tail of a standard normal, or both (of the absolute value)."""
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: 0.5 * sides * math.erfc((abs(x) if sides == 2 else x) / math.sqrt(2)), na_action="ignore")
+
+    return tail(z.cast("double"))
+
+
 def normal_p(z: Column) -> Column:
     """Two-sided p of a standard normal."""
+    return normal_tail(z)
+
+
+def t_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t, each distinct case once; null where an argument is or df < 1."""
 
     @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+    def both(t: pd.Series, df: pd.Series) -> pd.Series:
+        return _distinct(pd.concat([t, df.where(df >= 1)], axis=1, keys=range(2)), t_two_sided)
 
-    return two_sided(z)
+    return both(t.cast("double"), df.cast("double"))
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -117,7 +191,8 @@ def t_two_sided(t: float, df: float) -> float:
 def bootstrap_mean(rows: DataFrame, by: list[str], y: str, reps: int = 200, seed: int = 0) -> DataFrame:
     """Mean of y in each group with a percentile interval, by Poisson bootstrap.
 
-    Each row gets ``reps`` Poisson(1) weights from a hash of its own, so groups of any size are only summed.
+    Each row gets ``reps`` Poisson(1) weights from a hash of its own, so groups of any size are only summed. Rows that
+    are equal in all columns are numbered, so their weights differ too.
     """
     uniform = lambda r: (F.pmod(F.xxhash64(F.lit(seed), r, "__row"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     steps, total, p = [], 0.0, math.exp(-1)
@@ -125,7 +200,8 @@ def bootstrap_mean(rows: DataFrame, by: list[str], y: str, reps: int = 200, seed
         total += p
         steps.append(total)
         p /= k + 1
-    out = rows.withColumn("__row", F.xxhash64(*[F.col(c) for c in rows.columns])).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    copies = rows.groupBy(*rows.columns).agg(F.count("*").alias("__c")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))))
+    out = copies.withColumn("__row", F.xxhash64(*[F.col(c) for c in rows.columns], "__copy")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     weight = sum((F.when(uniform(F.col("rep")) > s, 1).otherwise(0) for s in steps), F.lit(0))
     means = out.withColumn("w", weight).groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(y)), F.sum("w")).alias("m"))
     return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

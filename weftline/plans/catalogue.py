@@ -8,33 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
 from weftline.operators import basket, evidence, graph, profiles, similarity, stats
+from weftline.plans import designs, mediation, texts  # noqa: F401  (register their queries)
+from weftline.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from weftline.streaming.pairs import windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a function of a table reader under its name."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    return frame.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
-
-
 def items_of(t: Callable) -> DataFrame:
     return basket.distinct_items(t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")), "l_orderkey", "p_brand")
 
@@ -292,10 +274,12 @@ def theme_adaptive_weights(t):
 
 @query("""SELECT l_returnflag, min(l_extendedprice) AS low, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, max(l_extendedprice) AS high, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd FROM lineitem GROUP BY 1""")
 def distribution_summary(t):
-    """#69."""
-    x = "l_extendedprice"
-    p = t("lineitem").groupBy("l_returnflag").agg(F.min(x).alias("low"), F.percentile(x, [0.1, 0.5, 0.9]).alias("p"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
-    return p.select("l_returnflag", "low", *[F.round(F.col("p")[i], 4).alias(f"p{d}") for i, d in enumerate((10, 50, 90))], "high", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+    """#69: quantiles by rank, as a group's values would not fit one task."""
+    x, names = "l_extendedprice", ["p10", "p50", "p90"]
+    lines = t("lineitem").select("l_returnflag", x)
+    rest = lines.groupBy("l_returnflag").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
+    out = rest.join(stats.quantiles(lines, ["l_returnflag"], x, [0.1, 0.5, 0.9], names), "l_returnflag")
+    return out.select("l_returnflag", "low", *[F.round(c, 4).alias(c) for c in names], "high", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS sources, count(DISTINCT l_returnflag)::INT AS n_sources, count(*) FILTER (l_linestatus = 'O') AS n_open FROM lineitem GROUP BY 1")
