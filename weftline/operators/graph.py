@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +130,94 @@ def random_walk(edges: DataFrame, left: str, right: str, seeds: DataFrame, resta
     return across(mass).toDF("seed", right, "score")
 
 
+def statistics(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density, mean and greatest degree of undirected edges (u, v)."""
+    degrees = both_ways(edges).groupBy("u").agg(F.count("*").alias("k"))
+    out = degrees.agg(F.count("*").alias("nodes"), (F.sum("k") / 2).cast("long").alias("edges"), F.avg("k").alias("mean_degree"), F.max("k").alias("max_degree"))
+    return out.select("nodes", "edges", F.try_divide(F.col("edges") * 2.0, F.col("nodes").cast("double") * (F.col("nodes") - 1)).alias("density"), "mean_degree", "max_degree")
+
+
+def label_propagation(edges: DataFrame, times: int = 20) -> DataFrame:
+    """(node, community): each node takes the most frequent label of itself and its neighbours, the least of those as frequent.
+
+    Rounds end when no label changes, or after ``times`` (labels can swing between two states for ever).
+    """
+    links = cut(both_ways(edges.where("u <> v")).distinct())
+    own = cut(links.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+    for _ in range(times):
+        seen = links.join(own, links.v == own.node).select(F.col("u").alias("node"), "label").unionByName(own)
+        counts = seen.groupBy("node", "label").agg(F.count("*").alias("n"))
+        top = counts.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("node", F.col("best.label").alias("label"))
+        new = cut(top)
+        changed = not new.join(own, ["node", "label"], "left_anti").isEmpty()
+        own = new
+        if not changed:
+            break
+    return own.withColumnRenamed("label", "community")
+
+
+def eigenvector(edges: DataFrame, tol: float = 1e-6, times: int = 100) -> DataFrame:
+    """(node, centrality): power iteration with A + I, of length 1, until the summed change is under ``tol`` times the nodes."""
+    links = cut(both_ways(edges.where("u <> v")).distinct())
+    nodes = links.select(F.col("u").alias("node")).distinct()
+    count = nodes.count()
+
+    def step(x: DataFrame) -> DataFrame:
+        pulled = links.join(x, links.v == x.node).groupBy(F.col("u").alias("node")).agg(F.sum("score").alias("pulled"))
+        summed = x.join(pulled, "node", "left").select("node", (F.col("score") + F.coalesce("pulled", F.lit(0.0))).alias("score"))
+        norm = summed.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+        return summed.join(F.broadcast(norm)).select("node", (F.col("score") / F.col("norm")).alias("score"))
+
+    start = nodes.select("node", F.lit(1.0 / max(1, count)).alias("score"))
+    return until_steady(start, step, ["node"], "score", tol * max(1, count), times, every=4, total=True).toDF("node", "centrality")
+
+
+def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+    """(node, centrality) of undirected edges: the share of shortest paths that pass, by breadth-first sums from every source.
+
+    The edges are broadcast (refused beyond ``most_edges``, 16 bytes each); sources are dealt out, so each task sums its own.
+    """
+    nodes = both_ways(edges).select(F.col("u").alias("node")).distinct()
+    if edges.count() > most_edges:
+        raise ValueError("too many edges for exact betweenness")
+    names = sorted(r[0] for r in nodes.collect())  # at most twice as many as the edges
+    place = {n: i for i, n in enumerate(names)}
+    near: list[list[int]] = [[] for _ in names]
+    for u, v in edges.select("u", "v").distinct().collect():
+        near[place[u]].append(place[v])
+        near[place[v]].append(place[u])
+    spark, n = edges.sparkSession, len(names)
+    shared = spark.sparkContext.broadcast(near)
+
+    def run(batches):
+        near = shared.value
+        total = [0.0] * len(near)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                far, paths, order, before = [-1] * len(near), [0.0] * len(near), [s], [[] for _ in near]
+                far[s], paths[s] = 0, 1.0
+                for u in order:  # grows while it is read
+                    for v in near[u]:
+                        if far[v] < 0:
+                            far[v] = far[u] + 1
+                            order.append(v)
+                        if far[v] == far[u] + 1:
+                            paths[v] += paths[u]
+                            before[v].append(u)
+                passed = [0.0] * len(near)
+                for v in reversed(order):
+                    for u in before[v]:
+                        passed[u] += paths[u] / paths[v] * (1 + passed[v])
+                    if v != s:
+                        total[v] += passed[v]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(near)), pa.int64()), pa.array(total)], ["i", "passed"])
+
+    sums = spark.range(n).repartition(min(n, 64) or 1).mapInArrow(run, "i long, passed double").groupBy("i").agg(F.sum("passed").alias("passed"))
+    named = spark.createDataFrame(list(enumerate(names)), f"i long, node {edges.schema['u'].dataType.simpleString()}")
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return named.join(sums, "i").select("node", (F.col("passed") * scale).alias("centrality"))
+
+
 def laplacian_smooth(scores: DataFrame, similar: DataFrame, alpha: float = 0.2, times: int = 2) -> DataFrame:
     """x <- x - alpha (D - A) x over (a, b, weight) in both directions, the diagonal of A at 1."""
     degree = similar.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("d"))
