@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
 from weftline.operators import basket, evidence, graph, profiles, similarity, stats
-from weftline.plans import designs, mediation, surface, texts, themes  # noqa: F401  (register their queries)
+from weftline.plans import designs, identity, mediation, surface, texts, themes  # noqa: F401  (register their queries)
 from weftline.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from weftline.streaming.pairs import windowed_counts
 
