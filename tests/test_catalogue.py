@@ -41,6 +41,6 @@ def test_whole_trade_graph(spark, sf_dir, con):
             if root[a] != root[b]:
                 root[a] = root[b] = min(root[a], root[b])
                 changed = True
-    assert dict(catalogue.QUERIES["connected_components_all"](spark, sf_dir).collect()) == root
+    assert dict(catalogue.QUERIES["connected_components"](spark, sf_dir).collect()) == root
     ranks = dict(catalogue.QUERIES["pagerank"](spark, sf_dir).collect())
     assert ranks.keys() == root.keys() and sum(ranks.values()) == pytest.approx(1)

@@ -64,8 +64,9 @@ def bucketed(rows: DataFrame, name: str, exact: DataFrame, normal: Column, junk:
     return out.withColumns({"match": F.when(F.col("bucket") == "auto", F.coalesce("__ia", "__ib")), "confidence": confidence}).drop("__a", "__b", "__ia", "__ib", "__na", "__nb", "__norm")
 
 
-def best_link(rows: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """(name, best, ratio): the most similar known name by 1 - edits / longer length, at least ``least``; ties by name.
+def best_link(rows: DataFrame, names: DataFrame, least: float, itself: bool = True) -> DataFrame:
+    """(name, best, ratio): the most similar known name by 1 - edits / longer length, at least ``least``; ties by name. Without ``itself`` a name
+    is not its own match.
 
     A ratio of r allows (1 - r) of the longer name's letters to be edited, so of that many blocks and one more, into which
     a name is cut, one stands unchanged in its match: names meet by equal blocks at nearby places, not all with all.
@@ -84,6 +85,7 @@ def best_link(rows: DataFrame, names: DataFrame, least: float) -> DataFrame:
     grams = grams.withColumn("__g", F.explode(places)).select("best", "__other", "__w", "__g.place", "__g.block")
     near = blocks.join(grams, ["__w", "block"]).where("abs(place - at) <= __e").select("name", "best", "__low", "__other").distinct()
     ratio = 1 - F.levenshtein("__low", "__other") / F.greatest(F.length("__low"), F.length("__other"))
+    near = near if itself else near.where("name <> best")
     scored = near.withColumn("ratio", ratio).where(F.col("ratio") >= least)
     top = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "best")).alias("t"))
     return top.select("name", F.col("t.best").alias("best"), (-F.col("t.r")).alias("ratio"))
