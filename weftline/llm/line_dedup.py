@@ -6,12 +6,17 @@ Signatures: every shingle is hashed once and the least hash of each of ``bands *
 borrowing from the next full one. Lines that agree on a band share a bucket. A bucket of up to ``all_pairs``
 lines proposes all its pairs; a larger one first proposes each line with its most widespread line (a near copy
 mostly differs less from the original than from another copy) and with its neighbour by id, which is linear in its
-size. Proposed pairs are verified exactly on their texts. Large buckets in which several components are then left
-are joined exactly: lines of different components are compared wherever their sizes allow a link, in blocks of
-bounded size, and only links between components leave a block. So every pair of similar lines
-that shares a bucket ends in one component. Of each component the first line by (doc_id, line number) stays,
+size. Proposed pairs are verified on their texts: by the sets of hashes of their shingles where the result is clear,
+and near the threshold, where hashes that coincide could decide, by the shingles themselves. Large buckets in which several components are
+then left are joined exactly: every line outside the bucket's largest component is compared with all lines of other
+components wherever their sizes allow a link, in blocks of bounded size, and only links between components leave a
+block (by 64-bit hashes of shingles; two lines of m shingles are judged wrongly with a chance of about m * m / 2**64).
+So every pair of similar lines that shares a bucket ends in one component. Of each component the first line by (doc_id, line number) stays,
 wherever it is; lines without any word always stay.
 
+What goes is found, not what stays: repeats within a window of a task's lines at once, then the later copies of a
+line, then the lines of a component but its first. Documents without such lines are passed on as they are.
+
 With 12 bands of 4 rows a pair of similarity 0.8 shares a bucket with probability 0.998, one of 0.9 practically
 always.
 
@@ -26,22 +31,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import connected_components, materialize, sliced
+from weftline.llm.common import connected_components, join_by_skewed_key, materialize, sliced
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 12, 4, 8, 0.8
-BLOCK_SHINGLES = 1 << 20  # shingles of a block of a large bucket: 4 MB
-FILTER_WORDS = 1 << 19  # 64-bit words of the filter on proposed lines: 4 MB whatever the input
+BLOCK_SHINGLES = 1 << 19  # shingles of a block of a large bucket: 4 MB
+FILTER_BITS = 1 << 28  # most bits of the filter on proposed lines: 32 MB; else 16 a line
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal_line(line: str) -> str:
-    return " ".join(line.lower().split())
+    return _squeezed(line.lower())
+
+
+def _squeezed(line: str) -> str:
+    if "  " not in line and line.isprintable() and line[:1] != " " and line[-1:] != " ":
+        return line  # no white space but single spaces
+    return " ".join(line.split())
 
 
 def line_id(normal: str) -> int:
@@ -55,26 +67,30 @@ def document_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
-def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the character shingles of all lines in one array, and where each line's begin."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def shingle_hashes(lines: list[str], width: int = SHINGLE, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``bits`` (32 or 64) of the character shingles of all lines in one array, and where each line's begin."""
+    kind, whole = (np.uint32, 0xFFFFFFFF) if bits == 32 else (np.uint64, 0xFFFFFFFFFFFFFFFF)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(kind, copy=False)
     lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     counts = np.maximum(1, lengths - width + 1)
     starts = np.cumsum(counts) - counts
     if not len(codes):
-        return np.zeros(len(lines), dtype=np.uint32), starts
-    rolled, step, span = np.concatenate((codes, np.zeros(width, dtype=np.uint32))), 0x9E3779B1, 1
+        return np.zeros(len(lines), dtype=kind), starts
+    rolled, step, span = np.concatenate((codes, np.zeros(width, dtype=kind))), 0x9E3779B97F4A7C15 & whole, 1
+    if bits == 32:
+        step = 0x9E3779B1
     while span < width:  # hashes of twice as many characters, from those that begin span apart
-        rolled = rolled[:-span] * np.uint32(step) + rolled[span:]
-        step, span = step * step & 0xFFFFFFFF | 1, 2 * span
+        rolled = rolled[:-span] * kind(step) + rolled[span:]
+        step, span = step * step & whole | 1, 2 * span
     drop = np.zeros(len(codes), dtype=bool)
     ends = np.cumsum(lengths)
     for k in range(1, width):  # shingles that would run over the end of their line
         drop[(ends - k)[lengths > k]] = True
     hashes = rolled[: len(codes)][~drop] if lengths.min() >= width else _with_short(rolled, lines, lengths, width)
-    hashes = (hashes ^ (hashes >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    hashes = (hashes ^ (hashes >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return hashes ^ (hashes >> np.uint32(16)), starts
+    half, first, second = (16, 0x85EBCA6B, 0xC2B2AE35) if bits == 32 else (32, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+    hashes = (hashes ^ (hashes >> kind(half))) * kind(first)
+    hashes = (hashes ^ (hashes >> kind(half - 3))) * kind(second)
+    return hashes ^ (hashes >> kind(half)), starts
 
 
 def _with_short(rolled: np.ndarray, lines: list[str], lengths: np.ndarray, width: int) -> np.ndarray:
@@ -82,11 +98,30 @@ def _with_short(rolled: np.ndarray, lines: list[str], lengths: np.ndarray, width
     counts = np.maximum(1, lengths - width + 1)
     begins, starts = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
     hashes = rolled[np.repeat(begins - starts, counts) + np.arange(counts.sum())]
+    digest = xxhash.xxh32_intdigest if rolled.dtype == np.uint32 else xxhash.xxh64_intdigest
     short = np.flatnonzero(lengths < width)
-    hashes[starts[short]] = [xxhash.xxh32_intdigest(lines[i].encode("utf-8", "surrogatepass"), 3) for i in short.tolist()]
+    hashes[starts[short]] = [digest(lines[i].encode("utf-8", "surrogatepass"), 3) for i in short.tolist()]
     return hashes
 
 
+def distinct_shingles(lines: list[str]) -> list[np.ndarray]:
+    """The sorted set of 32-bit shingle hashes of each line."""
+    hashes, starts = shingle_hashes(lines)
+    counts = np.diff(np.append(starts, len(hashes)))
+    keys = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), counts) | hashes
+    keys.sort()
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    ends = np.searchsorted(keys, np.arange(1, len(lines), dtype=np.uint64) << np.uint64(32))
+    return np.split(keys.astype(np.uint32), ends)
+
+
+def similar(a: str, b: str, threshold: float, width: int = SHINGLE) -> bool:
+    """Jaccard similarity of the shingles themselves."""
+    p, q = ({x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in (a, b))
+    common = len(p & q)
+    return common >= threshold * (len(p) + len(q) - common)
+
+
 def band_hashes(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """(lines, bands) bucket keys as signed 64-bit integers."""
     hashes, starts = shingle_hashes(lines)
@@ -100,12 +135,13 @@ def band_hashes(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.nd
     full = least.reshape(len(lines), bins)
     # an empty bin takes the value of the first full one in an order of its own, the same for all lines
     least, rng = full.copy(), np.random.default_rng(bins)
+    at = np.arange(len(lines))
     for _ in range(8 * bins):
-        at = np.flatnonzero((least == most).any(axis=1))
+        at = at[(least[at] == most).any(axis=1)]
         if not len(at):
             break
         part = least[at]
-        least[at] = np.where(part == most, full[at][:, rng.integers(0, bins, bins)], part)
+        least[at] = np.where(part == most, full[at[:, None], rng.integers(0, bins, bins)], part)
     least = least.astype(np.uint64)
     out = np.zeros((len(lines), bands), dtype=np.uint64)
     for b in range(bands):
@@ -117,16 +153,21 @@ def band_hashes(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.nd
     return out.view(np.int64)
 
 
-def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Occurrences: doc_id, line_no, doc_key, id; bands only at a line's first occurrence in a batch."""
+def _lines_of(docs: DataFrame, id_col: str, text_col: str, window: int = 200_000) -> DataFrame:
+    """Occurrences: doc_id, line_no, doc_key, id, first, bands.
+
+    They are gathered in windows of a task's lines. ``first`` holds where no other place in the window comes before
+    (by doc_id, line number, key) with the same line; bands are given once for each line of a window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in sliced(batches, "text", 1 << 20):
             seen: dict[str, int] = {}
             at, number, own = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for n, line in enumerate((text or "").split("\n")):
-                    if normal := normal_line(line):
+                for n, line in enumerate((text or "").lower().split("\n")):
+                    if normal := _squeezed(line):
                         at.append(i)
                         number.append(n)
                         own.append(seen.setdefault(normal, len(seen)))
@@ -134,24 +175,62 @@ def _lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 continue
             lines = list(seen)
             ids, bands, own = np.array([line_id(x) for x in lines]), band_hashes(lines), np.array(own)
-            first = np.unique(own, return_index=True)[1]  # lines are numbered as they come: in order
+            firsts = np.unique(own, return_index=True)[1]  # lines are numbered as they come: in order
             offsets = np.zeros(len(own) + 1, dtype=np.int32)
-            offsets[first + 1] = BANDS
-            offsets = np.cumsum(offsets, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(at := pa.array(at, pa.int64())),
-                    pa.array(number, pa.int32()),
-                    batch.column("doc_key").take(at),
-                    pa.array(ids[own]),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
-                ],
-                ["doc_id", "line_no", "doc_key", "id", "bands"],
-            )
+            offsets[firsts + 1] = BANDS
+            at = pa.array(at, pa.int64())
+            held.append(pa.table({
+                "doc_id": batch.column("doc_id").take(at),
+                "line_no": pa.array(number, pa.int32()),
+                "doc_key": batch.column("doc_key").take(at),
+                "id": pa.array(ids[own]),
+                "bands": pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(bands.ravel())),
+            }))
+            if sum(t.num_rows for t in held) >= window:
+                yield from closed(pa.concat_tables(held))
+                held = []
+        if held:
+            yield from closed(pa.concat_tables(held))
+
+    def closed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = table.column("id").to_numpy()
+        _, where, inverse, counts = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+        first = np.ones(len(ids), dtype=bool)
+        often = np.flatnonzero(counts[inverse] > 1)
+        if len(often):
+            first[often] = best_places(table.select(["id", *PLACE]).take(pa.array(often)))
+        again = np.ones(len(ids), dtype=bool)
+        again[where] = False
+        bands = table.column("bands").combine_chunks()
+        if again.any():
+            bands = pc.if_else(pa.array(again), pa.scalar(None, bands.type), bands)
+        out = table.set_column(4, "bands", bands).add_column(4, "first", pa.array(first))
+        yield from out.combine_chunks().to_batches(max_chunksize=20_000)
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), document_key(id_col, text_col).alias("doc_key"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, line_no int, doc_key long, id long, bands array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, line_no int, doc_key long, id long, first boolean, bands array<long>")
+
+
+PLACE = ("doc_id", "line_no", "doc_key")
+
+
+def best_places(rows: pa.Table, key: str = "id") -> np.ndarray:
+    """Which rows stand at the first place (null doc_ids last) of their key; rows that repeat that place all do."""
+    order = pc.sort_indices(rows, sort_keys=[(key, "ascending"), *((c, "ascending") for c in PLACE)]).to_numpy()
+    ordered = rows.take(pa.array(order)).combine_chunks()
+    keys = ordered.column(key).to_numpy()
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
+    leader = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = np.ones(len(keys), dtype=bool)
+    for c in PLACE:
+        mine = ordered.column(c)
+        other = mine.take(pa.array(leader))
+        equal = pc.or_(pc.fill_null(pc.equal(mine, other), False), pc.and_(pc.is_null(mine), pc.is_null(other)))
+        same &= equal.to_numpy()
+    out = np.zeros(len(keys), dtype=bool)
+    out[order] = same
+    return out
 
 
 def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
@@ -227,22 +306,25 @@ def _texts(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
     """(id, line) of the lines in the proposed pairs."""
     spark = docs.sparkSession
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-lines")
-    bit = F.pmod(F.col("id"), F.lit(FILTER_WORDS * 64))
-    words = wanted.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {FILTER_WORDS * 64}) % 64 as int))")).alias("bits"))
-    field = np.zeros(FILTER_WORDS, dtype=np.int64)
-    found = words.toArrow()  # at most FILTER_WORDS rows
+    size = min(FILTER_BITS, 1 << max(12, (16 * wanted.count() - 1).bit_length()))
+    bit = F.pmod(F.col("id"), F.lit(size))
+    words = wanted.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {size}) % 64 as int))")).alias("bits"))
+    field = np.zeros(size // 64, dtype=np.int64)
+    found = words.toArrow()  # at most one row a word of the filter
     field[found["word"].to_numpy()] = found["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(field)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct lines of each batch whose ids the filter lets through; more than wanted may pass."""
         bits = shared.value.view(np.uint64)
-        for batch in sliced(batches, "text", 2 << 20):
-            own = list({x for t in batch.column("text").to_pylist() if t for x in map(normal_line, t.split("\n")) if x})
+        for batch in sliced(batches, "text", 1 << 20):
+            own = {x for t in batch.column("text").to_pylist() if t for x in map(_squeezed, t.lower().split("\n"))}
+            own.discard("")
+            own = list(own)
             if not own:
                 continue
             ids = np.array([line_id(x) for x in own], dtype=np.int64)
-            place = np.mod(ids, FILTER_WORDS * 64)
+            place = np.mod(ids, size)
             passed = np.flatnonzero(bits[place // 64] >> (place % 64).astype(np.uint64) & np.uint64(1)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ids[passed]), pa.array([own[i] for i in passed], pa.string())], ["id", "line"])
 
@@ -254,22 +336,26 @@ def _verified(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame
     """(a, b) ids of the proposed pairs whose lines are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "a_line", 2 << 20):
+        for batch in sliced(batches, "a_line", 1 << 19):
             a, b = batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist()
             distinct = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
             if not distinct:
                 continue
-            hashes, starts = shingle_hashes(list(distinct))
-            stops = np.append(starts[1:], len(hashes))
-            sets = [np.unique(hashes[s:e]) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+            lines = list(distinct)
+            sets = distinct_shingles(lines)
             good = []
-            for x, y in zip(a, b, strict=True):
-                p, q = sets[distinct[x]], sets[distinct[y]]
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
+            for x, y in zip(map(distinct.get, a), map(distinct.get, b), strict=True):
+                p, q = sets[x], sets[y]
+                n, least = len(p) + len(q), threshold * max(len(p), len(q))
+                slack = 2 + (n * n >> 31)  # shingles that may share a hash of 32 bits by chance
+                if min(len(p), len(q)) < least - slack:
                     continue
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if common >= threshold * (len(p) + len(q) - common):
-                    good.append((line_id(x), line_id(y)))
+                both = np.concatenate((p, q))
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                over = common - threshold * (n - common)
+                if over >= 2 * slack or over > -2 * slack and similar(lines[x], lines[y], threshold):
+                    good.append((line_id(lines[x]), line_id(lines[y])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a")
@@ -294,23 +380,34 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _bucket_links(members: DataFrame, texts: DataFrame, threshold: float, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(a, b) roots that a link joins, from members (band, id, root) of large buckets.
 
-    A bucket with several roots is cut into blocks of about ``block_shingles`` shingles; each two blocks, and each
-    with itself, meet in a group of their own, so no task holds more than two whatever the bucket's size.
+    A link between components has an end outside the bucket's largest one (its hub), so the others meet each other
+    and the hub's lines, and the hub's lines never meet. Both are cut into blocks of about ``block_shingles``
+    shingles; a group holds one block of others with one block of either, so no task holds more than two.
     """
-    several = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    rest = members.join(several, "band", "left_semi")
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    hubs = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"))
+    rest = members.join(hubs.where("roots > 1").select("band", F.col("most.root").alias("hub")), "band")
+    rest = rest.withColumn("hub", F.col("root") == F.col("hub"))
     sets = materialize(_shingle_sets(texts.join(rest.select("id").distinct(), "id", "left_semi")), "line-shingles")
     sized = rest.join(sets.select("id", F.size("shingles").cast("long").alias("size")), "id")
-    blocks = sized.groupBy("band").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"))
-    own = rest.join(blocks, "band").withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root")
+    count = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("size"))) / block_shingles)).cast("int")
+    blocks = sized.groupBy("band").agg(count(~F.col("hub")).alias("others"), count(F.col("hub")).alias("hubs"))
+    own = rest.join(blocks, "band").withColumn("own", F.expr("cast(pmod(xxhash64(id), if(hub, hubs, others)) as int)"))
+    # group (p, q): block p of the others on the left; on the right block q of the others, or block -1 - q of the hub
+    left = F.transform(F.sequence(F.lit(0), F.col("hubs") - 1), lambda j: F.struct(F.col("own").alias("p"), (-1 - j).alias("q"), F.lit(True).alias("left")))
+    among = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda k: k != F.col("own")),
+        lambda k: F.struct(F.least("own", k).alias("p"), F.greatest("own", k).alias("q"), (F.col("own") < k).alias("left")),
+    )
+    right = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: F.struct(k.alias("p"), (-1 - F.col("own")).alias("q"), F.lit(False).alias("left")))
+    dealt = own.select("band", "id", "root", F.explode(F.when(F.col("hub"), right).otherwise(F.concat(left, among))).alias("g")).select("band", "id", "root", "g.*")
 
     def linked(table: pa.Table) -> pa.Table:
-        a, b = _linked_roots(table.column("root").to_numpy(), table.column("own").to_numpy(), table.column("shingles").combine_chunks(), threshold)
+        within = table.num_rows > 0 and table.column("q")[0].as_py() == -1  # pairs of one block meet in one group only
+        a, b = _linked_roots(table.column("root").to_numpy(), table.column("left").to_numpy(), within, table.column("shingles").combine_chunks(), threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    whole = dealt.join(sets, "id").select("band", "p", "q", "own", "root", "shingles")
+    whole = dealt.join(sets, "id").select("band", "p", "q", "left", "root", "shingles")
     return materialize(whole.groupBy("band", "p", "q").applyInArrow(linked, "a long, b long").distinct(), "root-links")
 
 
@@ -318,26 +415,26 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     """(id, shingles): the sorted set of shingle hashes of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "line", 2 << 20):
+        for batch in sliced(batches, "line", 1 << 19):
             if not batch.num_rows:
                 continue
-            hashes, starts = shingle_hashes(batch.column("line").to_pylist())
+            hashes, starts = shingle_hashes(batch.column("line").to_pylist(), bits=64)
             sets = [np.unique(x) for x in np.split(hashes, starts[1:])]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int32)))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "shingles"])
 
-    return texts.select("id", "line").mapInArrow(run, "id long, shingles array<int>")
+    return texts.select("id", "line").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _linked_roots(roots: np.ndarray, own: np.ndarray, shingles: pa.ListArray, threshold: float) -> tuple[list[int], list[int]]:
-    """Links that join the components of a group of lines; lines of two blocks are compared across them only.
+def _linked_roots(roots: np.ndarray, left: np.ndarray, within: bool, shingles: pa.ListArray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that join the components of a group of lines: lines on the left with those on the right, and with each other if ``within``.
 
     Shared shingles are counted exactly: the frequent ones of the group as bits, at most 64 for each shingle of
     the group, the others by their lines. Lines of one component, or of too different sizes, are not compared.
     """
     labels, component = np.unique(roots, return_inverse=True)
-    left = len(labels)
-    if left < 2:
+    rest = len(labels)
+    if rest < 2 or not left.any():
         return [], []
     offsets = shingles.offsets.to_numpy()
     offsets, sizes = offsets - offsets[0], np.diff(offsets)
@@ -351,12 +448,14 @@ def _linked_roots(roots: np.ndarray, own: np.ndarray, shingles: pa.ListArray, th
     at = ~frequent[flat] & (often[flat] > 1)
     holder = line[at][np.argsort(flat[at], kind="stable")]
     begins = np.concatenate(([0], np.cumsum(np.bincount(flat[at], minlength=len(often)))))
-    across, first, a, b = own.min() != own.max(), component.copy(), [], []
-    for i in range(n - 1):
-        later = (component[i + 1 :] != component[i]) & (sizes[i + 1 :] >= threshold * sizes[i]) & (sizes[i] >= threshold * sizes[i + 1 :])
-        if across:
-            later &= own[i + 1 :] != own[i]
-        found = np.flatnonzero(later) + i + 1
+    first, a, b = component.copy(), [], []
+    for i in np.flatnonzero(left).tolist():
+        later = (component != component[i]) & (sizes >= threshold * sizes[i]) & (sizes[i] >= threshold * sizes)
+        if within:
+            later[:i] &= ~left[:i]  # those on the left that came before have met this line
+        else:
+            later &= ~left
+        found = np.flatnonzero(later)
         if not len(found):
             continue
         common = np.bitwise_count(bits[found] & bits[i]).sum(axis=1, dtype=np.int64)
@@ -368,8 +467,8 @@ def _linked_roots(roots: np.ndarray, own: np.ndarray, shingles: pa.ListArray, th
                 a.append(int(labels[first[i]]))
                 b.append(int(labels[first[j]]))
                 component[component == component[j]] = component[i]
-                left -= 1
-        if left == 1:
+                rest -= 1
+        if rest == 1:
             break
     return a, b
 
@@ -388,40 +487,76 @@ def _distinct_pairs(proposed: DataFrame) -> DataFrame:
     return proposed.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def kept_lines(occurrences: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, doc_key and the numbers of the lines that stay, for documents in which any line with words does."""
-    first = occurrences.groupBy("id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "doc_key")).alias("first")
-    )
-    roots = roots.withColumnRenamed("node", "id")
-    linked = first.join(roots, "id").groupBy("root").agg(F.min("first").alias("first")).select("first")
-    winners = first.join(roots, "id", "left_anti").select("first").unionByName(linked)  # most lines have no link
-    return winners.groupBy("first.doc_id", "first.doc_key").agg(F.collect_list("first.line_no").alias("kept"))
+def dropped_lines(occurrences: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, doc_key and the numbers of the lines that go, of documents that lose any.
+
+    Of a line, the first place by (doc_id, line number, key) stays; of linked lines, the first of those.
+    """
+    spark, place = occurrences.sparkSession, list(PLACE)
+    none = {c: F.lit(None).cast(occurrences.schema[c].dataType) for c in place}
+    rows = occurrences.where("first").select("id", F.lit(None).cast("long").alias("root"), *place)
+    rows = rows.unionByName(roots.select(F.col("node").alias("id"), "root", *[v.alias(c) for c, v in none.items()]))
+    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places after a line's first, root null; the first place of each linked line, with its root."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            if not table.num_rows:
+                continue
+            out, held = split(table, table.column("id")[-1].as_py())
+            yield from out
+        if held is not None and held.num_rows:
+            yield from split(held, None)[0]
+
+    def split(table: pa.Table, open_id: int | None) -> tuple[list[pa.RecordBatch], pa.Table | None]:
+        """What the lines of the table give; the open line, which may go on, is held back as its first places and its root."""
+        ids = table.column("id").to_numpy()
+        rooted = pc.is_valid(table.column("root")).to_numpy()
+        _, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        busy = np.flatnonzero(counts[inverse] > 1)
+        if open_id is not None:
+            last = np.flatnonzero(ids == open_id)
+            busy = np.union1d(busy, last)
+        if not len(busy):
+            return [], None
+        part, linked = table.take(pa.array(busy)), rooted[busy]
+        places = part.filter(pa.array(~linked))
+        best = best_places(places.select(["id", *place])) if places.num_rows else np.zeros(0, dtype=bool)
+        is_open = places.column("id").to_numpy() == open_id if open_id is not None else np.zeros(len(best), dtype=bool)
+        winners = places.filter(pa.array(best & ~is_open))
+        known = part.filter(pa.array(linked))
+        root_of = dict(zip(known.column("id").to_pylist(), known.column("root").to_pylist(), strict=True))
+        own = pa.array([root_of.get(i) for i in winners.column("id").to_pylist()], pa.int64())
+        linked_winners = winners.set_column(1, "root", own).filter(pc.is_valid(own))
+        gone = pa.concat_tables([places.filter(pa.array(~best)), linked_winners]).select(["root", *place]).combine_chunks()
+        kept_back = None
+        if open_id is not None:
+            open_roots = known.filter(pc.equal(known.column("id"), open_id))
+            kept_back = pa.concat_tables([places.filter(pa.array(best & is_open)), open_roots]).combine_chunks()
+        return gone.to_batches(max_chunksize=20_000), kept_back
+
+    kinds = ", ".join(f"{c} {occurrences.schema[c].dataType.simpleString()}" for c in place)
+    gone = materialize(ordered.mapInArrow(later, f"root long, {kinds}"), "later-lines")
+    firsts = gone.where("root is not null")
+    best = firsts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place)).alias("best"))
+    losers = join_by_skewed_key(firsts, best, "root")
+    losers = losers.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line_no") == F.col("best.line_no")) & (F.col("doc_key") == F.col("best.doc_key"))))
+    every = occurrences.where("not first").select(place).unionByName(gone.where("root is null").select(place)).unionByName(losers.select(place))
+    return every.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with only the lines that stay in its text; all columns and rows as before."""
     occurrences, roots = line_components(docs, id_col, text_col, threshold)
-    kept = kept_lines(occurrences, roots)
+    gone = dropped_lines(occurrences, roots).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "gone")
     fields = [f"c{i}" for i in range(len(docs.columns))]
-    place = docs.columns.index(text_col)
-
-    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, stay in zip(batch.column(place).to_pylist(), batch.column(len(fields)).to_pylist(), strict=True):
-                if text is not None:
-                    stay = set(stay or ())
-                    text = "\n".join([x for n, x in enumerate(text.split("\n")) if n in stay or not x.strip()])
-                texts.append(text)
-            columns = list(batch.columns[: len(fields)])
-            columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, fields)
-
-    plain = docs.toDF(*fields)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "kept")
-    own = f"c{docs.columns.index(id_col)}"
-    same = document_key(own, f"c{place}") == F.col("__key")
-    with_lines = plain.join(kept, same & F.col(own).eqNullSafe(F.col("__id")), "left").select(*fields, "kept")
-    return with_lines.mapInArrow(rewritten, schema).toDF(*docs.columns)
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    same = (document_key(own, text) == F.col("__key")) & F.col(own).eqNullSafe(F.col("__id"))
+    found = docs.toDF(*fields).join(gone.hint("shuffle_hash"), same, "left")
+    # the lines are bound once, as the element of an array
+    left = F.expr(f"transform(array(split({text}, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> get(ls, i)), '\n'))[0]")
+    changed = F.when(F.col("gone").isNull(), F.col(text)).otherwise(left)
+    return found.select(*[changed.alias(c) if c == text else F.col(c) for c in fields]).toDF(*docs.columns)
