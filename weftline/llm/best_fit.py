@@ -149,7 +149,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_tokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             at, piece, ids = [], [], []
             for i, packed in enumerate(coder.encode(texts_of(batch, "text"))):
                 packed += end
@@ -168,6 +168,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
             if with_ids:
                 columns["ids"] = pa.array(ids, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        coder.forget()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that outlives executors.
 
-    The files stay as long as plans may read them; they are removed with the shared folder.
+    The files stay as long as plans may read them: until ``discard_tables`` or the end of the shared folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_tables(spark: SparkSession) -> int:
+    """Remove the tables that this driver has written so far; call it once results are stored. How many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def quoted(name: str) -> Column:
     """The column of that very name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -89,6 +102,14 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <<
     finally:
         if searching:
             gc.enable()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system when a task ends: the worker may stay idle beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _cut(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -105,7 +105,7 @@ def packed_sequences(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, first = word_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 32
         held, total, id_type = [], 0, pa.int64()
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             id_type = batch.column("doc_id").type
             for doc, packed in zip(batch.column("doc_id").to_pylist(), coder.encode(texts_of(batch, "text")), strict=True):
                 ids = np.append(np.frombuffer(packed, dtype="<u4").astype(kind), kind.type(end_id))
@@ -117,6 +117,7 @@ def packed_sequences(
                             first += out.num_rows
                             yield out
                         held, total = [], 0
+        coder.forget()
         if held:
             yield from shard(held, first, id_type)
 

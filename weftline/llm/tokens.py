@@ -10,6 +10,7 @@ import functools
 import gc
 import os
 from array import array
+from collections.abc import Iterator
 
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may begin a token with a letter
@@ -25,10 +26,56 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class _WordIds(dict):
+    """Ids of words (little-endian unsigned 32-bit), learned when first asked for; short ones are kept."""
+
+    longest = 32
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.marks: dict[str, bytes] = {}
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+
+    def whole(self, word: str) -> bytes:
+        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        """Marks after a Latin letter are tokens of their own, and A-Z are lower-cased: such words share their stem's ids."""
+        stem = word.rstrip(_MARKS)
+        if not stem or not stem[-1].isalpha() or stem[-1] > "\xff":
+            found = self.whole(word)
+        elif len(stem) < len(word):
+            mark = word[len(stem) :]
+            if mark not in self.marks:
+                self.marks[mark] = self.whole(mark)
+            found = self[stem] + self.marks[mark]
+        elif stem.isascii():
+            low = stem.lower()
+            if low != stem:
+                found = self[low]
+            elif stem.isalpha():  # Latin letters in lower case: normalizer and pre-tokenizer leave them as they are
+                found = array("I", [t.id for t in self.tokenize(stem)]).tobytes()
+            else:
+                found = self.whole(stem)
+        elif stem.isalpha() and max(stem) <= "\xff":
+            low = stem.lower()
+            found = array("I", [t.id for t in self.tokenize(low.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        else:
+            found = self.whole(stem)
+        if len(word) <= self.longest:
+            self[word] = found
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self[""] = b""
+        self.marks.clear()
+
+
 class WordTokenizer:
-    """Encodes texts to little-endian unsigned 32-bit ids; beyond ``cache_words`` only the words in use are kept."""
+    """Encodes texts to little-endian unsigned 32-bit ids; words are forgotten when more than ``cache_words`` are known."""
 
-    cache_words, longest = 1_200_000, 64
+    cache_words = 300_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,68 +83,26 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._ids: dict[str, bytes] = {"": b""}
+        self._ids = _WordIds(self.tokenizer)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Cycles are not searched for meanwhile: there are none, and millions of strings."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, one after another. Cycles are not searched for meanwhile: there are none, and many strings."""
         searching = gc.isenabled()
         gc.disable()
+        ids = self._ids
+        of = ids.__getitem__
         try:
-            return self._encode(texts)
+            for text in texts:
+                if len(ids) > self.cache_words:
+                    ids.clear()
+                yield b"".join(map(of, text.replace("\n", " ").split(" ")))
         finally:
             if searching:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        here = set().union(*split)
-        ids = self._ids
-        self._learn(here.difference(ids))
-        out = [b"".join([ids[w] for w in words]) for words in split]
-        for word in here:
-            if len(word) > self.longest:
-                del ids[word]
-        if len(ids) > self.cache_words:
-            self._ids = {w: ids[w] for w in here if w in ids} | {"": b""}
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        """Marks after a Latin letter are tokens of their own, and A-Z are lower-cased: such words share their stem's ids."""
-        ids, words, cores, ends, stems, marks = self._ids, [], [], [], {}, {"": b""}
-        for word in new:
-            stem = word.rstrip(_MARKS)
-            if stem and stem[-1].isalpha() and stem[-1] <= "\xff":
-                mark = word[len(stem) :]
-                if mark not in marks:
-                    marks[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
-                if stem.isascii() or stem.isalpha() and max(stem) <= "\xff":
-                    stem = stem.lower()
-            else:
-                stem, mark = word, ""
-            words.append(word)
-            cores.append(stem)
-            ends.append(mark)
-            stems[stem] = ids.get(stem)
-        todo, tokenize = [], self.tokenizer.model.tokenize
-        for stem, known in stems.items():
-            if known is not None:
-                continue
-            if not stem.isalpha() or not stem.isascii() and max(stem) > "\xff":
-                todo.append(stem)
-                continue
-            # Latin letters in lower case: normalizer and pre-tokenizer leave them as they are
-            spelt = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            stems[stem] = packed = array("I", [t.id for t in tokenize(spelt)]).tobytes()
-            if len(stem) <= self.longest:
-                ids[stem] = packed
-        for low in range(0, len(todo), 4096):
-            part = todo[low : low + 4096]
-            for stem, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                stems[stem] = packed = array("I", found.ids).tobytes()
-                if len(stem) <= self.longest:
-                    ids[stem] = packed
-        for word, stem, mark in zip(words, cores, ends, strict=True):
-            ids[word] = stems[stem] + marks[mark] if mark else stems[stem]
+    def forget(self) -> None:
+        """Let go of the words, when a task ends: the worker may serve other stages next."""
+        self._ids.clear()
 
 
 @functools.lru_cache(maxsize=2)
