@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import io
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -11,7 +10,6 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftline.llm import best_fit, bpe, common, exact_dedup, jpeg, langid, licenses, line_dedup, packed_ids, queries, simhash, toxicity
@@ -356,14 +354,16 @@ def test_toxicity_on_held_out_labels(spark):
     path = "/root/testdata/sf0.1"
     got = queries.op7_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
     held = got.where("held_out").select("predicted", "toxic", "score").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.95 * len(held)
+    toxic, flagged = [r for r in held if r["toxic"] == 1], [r for r in held if r["predicted"] == 1]
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic) and sum(r["toxic"] for r in flagged) >= 0.9 * len(flagged)
 
 
 def test_unseen_misspellings_share_subwords():
     clean = [Counter(f"the {w} is nice today".split()) for w in ("cat", "dog", "sun", "garden", "river", "music") * 5]
     toxic = [Counter(f"the {w} is an idiot today".split()) for w in ("cat", "dog", "sun", "garden", "river", "music") * 5]
     model = toxicity.fit(clean + toxic, [0] * 30 + [1] * 30)
-    assert model.word("idiott") > model.word("music") + 1 and model.word("idi0t") != 0
+    idiott, music, idi0t = model.of_words(["idiott", "music", "idi0t"])
+    assert idiott > music + 1 and idi0t != 0
 
 
 def test_language_on_held_out_documents(spark):
@@ -374,8 +374,9 @@ def test_language_on_held_out_documents(spark):
 
 def test_backoff_goes_to_shorter_grams():
     model = langid.Model([("a", 0, "known", 5), ("b", 1, "k", 1), ("a", 2, "un", 3), ("b", 2, "xx", 3), ("a", 1, "u", 1)], 2)
-    assert model.word("known").argmax() == 0 and model.word("uns").argmax() == 0 and model.word("kz").argmax() == 1
-    assert not model.word("zzz").any()
+    logs, known = model.of_words(["known", "uns", "kz", "zzz"])
+    assert logs[:3].argmax(axis=1).tolist() == [0, 0, 1] and known.tolist() == [True, True, True, False]
+    assert not logs[3].any()
 
 
 def test_jpeg_container_round_trip():
@@ -407,11 +408,9 @@ def test_media_columns_reads_other_baseline_files(spark):
     assert rows[1]["width"] is None and rows[2]["thumbnail"] is None
 
 
-def test_hashes_ignore_surplus(spark):
-    assert jpeg.feature([np.zeros((3, 64), dtype=np.uint8)]) == "512x24:" + "0" * 16
-    assert io.BytesIO(jpeg.store([bytes(64)])[0]).read(2) == b"\xff\xd8"
+def test_needed_tokens_and_flat_thumbnails():
+    assert jpeg.feature([np.zeros((3, 64), dtype=np.uint8)]).startswith("512x24:" + "0" * 16)
     assert licenses.needed_tokens(5) == 4 and licenses.needed_tokens(3) == 3
-    assert Row(a=1)
 
 
 def test_license_score_does_not_depend_on_position(spark):
@@ -419,3 +418,157 @@ def test_license_score_does_not_depend_on_position(spark):
     texts = [(f"{i}-{k}", "word " * k + p + " word") for i, p in enumerate(passages) for k in range(7)]
     rows = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()
     assert {(r["labels"], r["score"]) for r in rows} == {("all-rights-reserved", 1.0)} and len(rows) == 21
+
+
+def test_small_shards_are_searched_by_trees(monkeypatch):
+    """A shard of three or more builds a tree, whose edge rule passes over children."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2**64, 400, dtype=np.uint64).tolist()
+    values += [v ^ 1 << int(b) for v, b in zip(values[:40], rng.integers(0, 64, 40), strict=True)]
+    built = []
+    add = simhash.BKTree.add
+    monkeypatch.setattr(simhash.BKTree, "add", lambda self, value: (built.append(value), add(self, value))[1])
+    links = simhash.forest(values)
+    assert len(built) == len(values) and len(links) == 40
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for v in values[:60]:
+        assert sorted(tree.near(v)) == [i for i, x in enumerate(values) if (x ^ v).bit_count() <= 3]
+
+
+def test_shards_share_one_block():
+    assert len(simhash.block_masks()) == 4 and all(m.bit_count() == 16 for m in simhash.block_masks())
+    for bits in combinations(range(0, 64, 7), 3):  # three differing bits leave a block alone
+        assert any(not any(m >> b & 1 for b in bits) for m in simhash.block_masks())
+
+
+def test_license_filters_pass_over_blocks(spark):
+    """Whole texts match wherever they stand; lookalikes that lack the rarest tokens are cut before any intersection."""
+    whole = " ".join(licenses.TEMPLATES[-2][0].split())
+    texts = [f"intro words {whole} more", whole.upper().replace(" ", ", "), " ".join(whole.split()[::2]), "the license the software the " * 30]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert "apache-2" in rows[0]["labels"] and rows[0]["score"] == 1.0 and rows[1]["score"] == 1.0
+    assert rows[3]["labels"] == "" and rows[3]["score"] == 0.0
+    tokens = list(dict.fromkeys(whole.split()))
+    sql = licenses._matching_scores(tokens)
+    words = spark.createDataFrame([(whole.split(),), (tokens[licenses.LOOK + len(tokens) - licenses.needed_tokens(len(tokens)) + 1 :],), ([],)], "words array<string>")
+    assert [bool(r[0]) for r in words.select(F.expr(sql)).collect()] == [True, False, False]
+
+
+def test_media_columns_of_the_query(spark, tmp_path):
+    """Every column of the query, recomputed from the texts and from the stored bytes."""
+    docs = frame(spark, [*ODD, None, "x" * 64, "y" * 63])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_jpeg_media(spark, f"file://{tmp_path}").collect()}
+    for doc, text in docs.select("doc_id", "text").collect():
+        raw = (text or "").encode()
+        payload = raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw))
+        media = jpeg.store([payload])[0]
+        frames = next(iter(jpeg.thumbnails([media])))
+        r = got[doc]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(b"".join(f.tobytes() for f in frames)).hexdigest() == hashlib.sha256(payload).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r["feature"] == jpeg.feature(frames) and media[:2] == b"\xff\xd8" and media[-2:] == b"\xff\xd9"
+
+
+def test_feature_sees_the_whole_thumbnail():
+    rng = np.random.default_rng(5)
+    plain = rng.integers(0, 256, (64, 64), dtype=np.uint8)
+    for row, column in ((0, 0), (31, 20), (63, 63)):
+        other = plain.copy()
+        other[row, column] ^= 255
+        assert jpeg.feature([other]) != jpeg.feature([plain])
+
+
+def plain_subwords(word):
+    marked = f"<{word}>"
+    return [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1) if n < len(marked)]
+
+
+def test_toxicity_score_equals_a_plain_loop(spark, sf_dir):
+    words = ["idiot", "a", "ab", "straße", "日本語", "x" * 50, "é"]
+    places, owner = toxicity.subwords(words)
+    for i, word in enumerate(words):  # as many places as subwords, equal ones for equal strings
+        assert (owner == i).sum() == len(plain_subwords(word))
+    one, _ = toxicity.subwords(["xidiotx"])
+    assert len(set(one.tolist()) & set(places[owner == 0].tolist())) >= 6
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), queries.id_crc() % 5 != 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for doc, text in docs.select("doc_id", "text").limit(50).collect():
+        own = toxicity.bag(text or "")
+        total = sum(k * float(np.mean(model.weights[toxicity.subwords([w])[0]])) for w, k in own.items())
+        logit = model.bias + total / max(1, sum(own.values()))
+        assert np.isclose(got[doc], 1 / (1 + np.exp(-logit)), atol=1e-5)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_toxicity_recall_and_precision(spark, sf):
+    path = f"/root/testdata/{sf}"
+    got = queries.op7_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    toxic, flagged = [r for r in got if r["toxic"] == 1], [r for r in got if r["predicted"] == 1]
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic) and sum(r["toxic"] for r in flagged) >= 0.9 * len(flagged)
+
+
+def test_language_score_equals_a_plain_loop(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, queries.id_crc() % 3 != 1)
+    by_hash = [dict(zip(h.tolist(), r.tolist(), strict=True)) for h, r in model.grams]
+
+    def plain(word):
+        if word in model.words:
+            return model.logs[model.words[word]].astype(float)
+        for n in range(model.longest, 0, -1):
+            hashes = [int(langid.gram_hashes(*langid.spelt([g]), n)[0][0]) for g in langid.grams(word, n)]
+            known = [by_hash[n - 1][h] for h in hashes if h in by_hash[n - 1]]
+            if known:
+                return model.logs[known].astype(float).sum(axis=0) / len(known)
+        return np.zeros(len(model.langs))
+
+    texts = docs.select("doc_id", "text").limit(25).unionByName(frame(spark, [t for t in ODD if len(t) < 4000], 10_000).select("doc_id", "text"))
+    got = {r["doc_id"]: r for r in langid.identify(texts, model).collect()}
+    for doc, text in texts.collect():
+        found = [w for w in langid._WORD.findall(text.lower())]
+        if not any(map(str.isalpha, text)):
+            assert got[doc]["lang_pred"] == "und" and got[doc]["score"] == 0
+            continue
+        pieces = sum(any(map(str.isalpha, p)) for p in text.split())
+        total = sum(map(plain, found), np.zeros(len(model.langs))) / pieces**0.5
+        weights = np.exp(total - total.max())
+        assert got[doc]["lang_pred"] == model.langs[int(weights.argmax())]
+        assert np.isclose(got[doc]["score"], weights.max() / weights.sum(), rtol=1e-3)
+
+
+def test_sample_by_hash_is_bounded(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("g"), "id")
+    got = common.first_by_hash(rows, "g", "id", 300).collect()
+    by = Counter(r["g"] for r in got)
+    assert by == {"hot": 300, "rare": 200}
+    hashes = {r["id"]: r["h"] for r in rows.where("g = 'hot'").select("id", F.xxhash64("id").alias("h")).collect()}
+    assert all(abs(hashes[r["id"]]) < 2**63 * 600 / 19_800 for r in got if r["g"] == "hot")
+
+
+def test_all_similar_lines_of_a_table_meet(spark):
+    """Recall on whole tables: every pair of lines of similarity 0.8 or more, counted by postings, ends in one component."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    lines = sorted({line_dedup.normal_line(x) for r in docs.select("text").collect() for x in (r[0] or "").split("\n")} - {""})
+    sets = [{x[i : i + line_dedup.SHINGLE] for i in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for x in lines]
+    postings = defaultdict(list)
+    for i, own in enumerate(sets):
+        for shingle in own:
+            postings[shingle].append(i)
+    postings, sizes = {k: np.array(v) for k, v in postings.items()}, np.array([len(x) for x in sets])
+    _, roots = line_dedup.line_components(docs)
+    root = dict(roots.collect())
+    ids = [line_dedup.line_id(x) for x in lines]
+    pairs = 0
+    for i, own in enumerate(sets):
+        common = np.bincount(np.concatenate([postings[x] for x in own]), minlength=len(sets))
+        for j in np.flatnonzero(common >= 0.8 * (sizes + sizes[i] - common)).tolist():
+            if j > i:
+                pairs += 1
+                assert root[ids[i]] == root[ids[j]]
+    assert pairs > 100

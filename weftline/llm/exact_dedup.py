@@ -4,7 +4,7 @@ Texts are equal when identical after deleting ASCII white space (0x20, 0x09-0x0D
 SHA-256 of what is left. Misra-Gries counters (``DataFrame.stat.freqItems``, the Karp-Shenker-Papadimitriou
 form) propose the digests that may hold more than ``support`` of the rows. Their exact counts and winners are
 computed by partial aggregation and broadcast, at most ``1/support`` rows, so copies in large groups are
-decided on the map side and never meet in one task. Other digests are shuffled once.
+decided on the map side and never meet in one task. Other digests are aggregated likewise and joined by their key.
 
 Defined results: null text counts as empty; all empty texts are one group; a null doc_id loses to any other;
 of repeated identical rows exactly one is kept; extra columns are ignored; an empty table gives no rows.
@@ -12,7 +12,7 @@ of repeated identical rows exactly one is kept; extra columns are ignored; an em
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialize
@@ -55,10 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = [r[0] for r in hot.select("text_sha256").collect()]  # at most 1/support
     is_hot = F.col("text_sha256").isin(frequent)
     settled = rows.where(is_hot).join(F.broadcast(hot), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = rows.where(~is_hot).withColumns(
-        {"group_size": F.count("*").over(group), "best": F.min("order").over(group)}
-    )
+    cold = rows.where(~is_hot)
+    rest = cold.join(cold.groupBy("text_sha256").agg(*stats), "text_sha256")  # aggregated before it is shuffled
     return settled.unionByName(rest).select(
         "doc_id",
         F.col("best.id").alias("keep_id"),

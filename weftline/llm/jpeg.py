@@ -14,8 +14,8 @@ arithmetic-coded files and broken ones give null columns in ``media_columns``; e
 
 from __future__ import annotations
 
-import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -354,16 +354,18 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
 
 
 def thumbnail_hash(grey: np.ndarray) -> str:
-    """Difference hash, 16 hex digits: is each of 8 x 8 points brighter than its right neighbour."""
-    rows = np.arange(8) * grey.shape[0] // 8
-    columns = np.arange(9) * grey.shape[1] // 9
-    small = grey[rows][:, columns]
-    return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
+    """Difference hash, 16 hex digits: is each of 8 x 8 block averages of the whole thumbnail brighter than its right neighbour."""
+    for axis, parts in ((0, 8), (1, 9)):
+        begins = np.arange(parts) * grey.shape[axis] // parts
+        shape = [-1 if k == axis else 1 for k in (0, 1)]
+        sizes = np.maximum(1, np.diff(np.append(begins, grey.shape[axis]))).reshape(shape)
+        grey = np.add.reduceat(grey.astype(np.float64), begins, axis=axis) / sizes
+    return np.packbits(grey[:, :-1] > grey[:, 1:]).tobytes().hex()
 
 
 def feature(frames: list[np.ndarray]) -> str:
-    """Dimensions in pixels and thumbnail hash of each frame."""
-    return "+".join(f"{8 * g.shape[1]}x{8 * g.shape[0]}:{thumbnail_hash(g)}" for g in frames)
+    """Dimensions in pixels, thumbnail hash and CRC-32 of the whole thumbnail of each frame."""
+    return "+".join(f"{8 * g.shape[1]}x{8 * g.shape[0]}:{thumbnail_hash(g)}:{zlib.crc32(g.tobytes()):08x}" for g in frames)
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,7 +405,3 @@ def media_columns(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     source = images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, width int, height int, thumbnail binary, thumbnail_hash string")
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -29,7 +29,7 @@ from weftline.llm.common import first_by_hash, quoted, sliced
 from weftline.llm.grams import gram_hashes, spelt
 
 _WORD = re.compile(r"[^\W\d_]+")
-CACHED_PARTS = 150_000  # pieces of text whose sums a task keeps between its slices: some 30 MB
+CACHED_PARTS = 100_000  # pieces of text whose sums a task keeps between its slices: some 20 MB
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -5,8 +5,10 @@ first pass counts in how many documents each template token occurs and orders ev
 token on. A block matches when it holds at least ``ceil(threshold * size)`` of a template's tokens, hence
 (prefix filter) one of its ``size - needed + 1`` rarest. Blocks of a template of n tokens are all windows of 2n
 words. A window loses no token when it is moved to its first one, so only windows that start at a template token
-and hold a prefix token are looked at; those too short (length filter) or with too few places of template tokens
-(positional filter) are passed over; the others are verified exactly.
+are looked at. Before any intersection is taken, texts and windows of fewer than the needed words are passed over
+(length filter), and so are windows that lack more of the ``size - needed + LOOK`` rarest tokens than a match may
+lack at all: by their ranks in the template, too few tokens are left behind them (positional filter). The others
+are verified exactly.
 
 Labels: those of the base phrases, and the templates' own. Score: the greatest containment of a matching block,
 1 where a base phrase stands.
@@ -18,6 +20,7 @@ overlap; repeated rows each get a row; extra columns are ignored; texts are scan
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,49 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
+# Whole public license texts and headers with the label each gives.
+LICENSE_TEXTS = (
+    (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+        "mit",
+    ),
+    (
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.""",
+        "bsd",
+    ),
+    (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+        "apache-2",
+    ),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details.""",
+        "gpl-3",
+    ),
+)
+
 # Notices with the label each gives.
 TEMPLATES = (
     ("released under the mit license", "mit"),
@@ -40,8 +86,10 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("mozilla public license version 2 0", "mpl-2"),
     ("all rights reserved", "all-rights-reserved"),
+    *((" ".join(re.findall("[a-z0-9]+", text.lower())), label) for text, label in LICENSE_TEXTS),
 )
 
+LOOK = 8  # tokens looked at beyond the prefix
 THRESHOLD = 0.8
 
 
@@ -76,13 +124,15 @@ def _places(phrase: str) -> str:
 def _matching_scores(ordered: list[str]) -> str:
     """SQL for the containments of the matching blocks of a template whose tokens are given rarest first."""
     n, need = len(ordered), needed_tokens(len(ordered))
-    prefix, every = _sql_array(ordered[: n - need + 1]), _sql_array(ordered)
-    places = lambda tokens: f"filter(transform(words, (w, i) -> if(array_contains({tokens}, w), i, -1)), i -> i >= 0)"
+    spare = n - need  # tokens that a match may lack
+    looked = ordered[: spare + 1 + LOOK]
+    every, prefix, rare = _sql_array(ordered), _sql_array(ordered[: spare + 1]), _sql_array(looked)
+    places = f"filter(transform(words, (w, i) -> if(array_contains({every}, w), i, -1)), i -> i >= 0)"
+    ranks = f"filter(transform(words, (w, i) -> named_struct('i', i, 'r', array_position({rare}, w))), x -> x.r > 0)"
     # the places are bound once, as the element of an array
-    bound = f"if(arrays_overlap(words, {prefix}), array(named_struct('p', {places(every)}, 'h', {places(prefix)})), cast(array() as array<struct<p:array<int>,h:array<int>>>))"
-    long_enough = f"size(words) - b >= {need} AND size(s.p) >= {need}"
-    held = f"exists(s.h, h -> h >= b AND h < b + {2 * n}) AND size(filter(s.p, j -> j >= b AND j < b + {2 * n})) >= {need}"
-    able = f"flatten(transform({bound}, s -> filter(s.p, b -> {long_enough} AND {held})))"
+    bound = f"if(size(words) >= {need} AND arrays_overlap(words, {prefix}), array(named_struct('p', {places}, 'h', {ranks})), cast(array() as array<struct<p:array<int>,h:array<struct<i:int,r:bigint>>>>))"
+    held = f"size(array_distinct(transform(filter(s.h, x -> x.i >= b AND x.i < b + {2 * n}), x -> x.r))) >= {len(looked) - spare}"
+    able = f"flatten(transform({bound}, s -> filter(s.p, b -> size(words) - b >= {need} AND {held})))"
     found = f"transform({able}, b -> size(array_intersect({every}, slice(words, int(b + 1), {2 * n}))))"
     return f"transform(filter({found}, m -> m >= {need}), m -> m / {n}D)"
 
@@ -138,9 +188,11 @@ places AS (
   WHERE array_to_string(words[i + 1 : i + n], ' ') = phrase
 ), base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY r
+), able AS (
+  SELECT r, words, label, n, need, tokens FROM d, t WHERE len(list_intersect(tokens, words)) >= need
 ), blocks AS (
-  SELECT r, label, n, need, len(list_intersect(tokens, words[b * n + 1 : b * n + 2 * n])) AS m
-  FROM (SELECT r, words, label, n, need, tokens, unnest(range(len(words) // n + 1)) AS b FROM d, t)
+  SELECT r, label, n, need, len(list_intersect(tokens, words[b + 1 : b + 2 * n])) AS m
+  FROM (SELECT *, unnest(range(len(words))) AS b FROM able)
 ), own AS (
   SELECT r, label, max(m / n) AS score FROM blocks WHERE m >= need GROUP BY r, label
 ), every AS (

@@ -3,13 +3,13 @@
 Texts are lower-cased (A-Z only) and split on ASCII white space; the XXH64 (seed 42) of every 3-word shingle,
 repeats included, votes on 64 bits. Fingerprints that differ in at most three bits are linked.
 
-Search: of six blocks of bits, at most three can hold a difference, so linked fingerprints agree in full on
-three blocks. Distinct fingerprints are dealt out by each of the 20 choices of three blocks; each bucket, about
-32 shared bits, is a shard with its own BK-tree (children keyed by their distance to the parent, only edges
-within the radius followed). A bucket hands on a spanning forest of its links, not its pairs. A bucket of more
-than ``bucket_limit`` members is dealt out again by a quarter more of its free bits, until it fits: with 11
-free bits it must. Trees are built where their shard lies: a tree of all fingerprints grows with the corpus, so
-broadcasting it has no size bound. Components come from star rounds over the links.
+Search: of four blocks of 16 bits, at most three can hold a difference, so linked fingerprints agree in full on
+one block. Distinct fingerprints are dealt out by each block; each of the 4 * 65536 shards has its own BK-tree
+(children keyed by their distance to the parent, only edges within the radius followed). A shard hands on a
+spanning forest of its links, not its pairs. A shard of more than ``bucket_limit`` members is dealt out again by a
+quarter more of its free bits, until it fits: with 9 free bits it must. Trees are built where their shard lies:
+broadcast, they would have to pass through the driver and grow with the corpus. Components come from star rounds
+over the links.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; one row per input row;
 null doc_ids never name a component unless it has no other; extra columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import connected_components, join_by_skewed_key, materialize, sliced, texts_of
 
 RADIUS = 3
-_BLOCKS = (11, 11, 11, 11, 10, 10)
+_BLOCKS = (16, 16, 16, 16)
 
 
 def fingerprint(text: bytes) -> int:
@@ -146,7 +146,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct_fps: DataFrame, bucket_limit: int = 4096) -> DataFrame:
+def links(distinct_fps: DataFrame, bucket_limit: int = 512) -> DataFrame:
     """(a, b) links that connect all fingerprints within the radius; the input has one column fp without repeats."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def links(distinct_fps: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     found = done.where("kind = 0")
     while True:
         large = done.where("kind = 1")
-        outgrown = [r[0] for r in large.select("a").distinct().collect()]  # masks: 20, four times more each turn
+        outgrown = [r[0] for r in large.select("a").distinct().collect()]  # masks: 4, four times more each turn
         if not outgrown:
             return found.select("a", "b")
         finer = F.create_map(

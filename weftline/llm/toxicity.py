@@ -30,7 +30,7 @@ from weftline.llm.grams import gram_hashes, spelt, word_hashes
 
 _WORD = re.compile(r"[^\W\d_]+")
 BITS = 16  # subword buckets: 2**BITS
-CACHED_PARTS = 200_000  # pieces of text whose sums a task keeps between its slices: some 40 MB
+CACHED_PARTS = 100_000  # pieces of text whose sums a task keeps between its slices: some 20 MB
 SIZES = (30, 100, 300, 1000)  # numbers of subwords that cross-validation chooses from
 
 
