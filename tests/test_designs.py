@@ -243,3 +243,25 @@ def test_models_on_clear_cases(spark):
     items = spark.createDataFrame([(i, [f"w{j}" for j in rng.integers(0, 9, 4)]) for i in range(30)], "i long, items array<string>")
     v = np.array([r["vector"] for r in models.hashed_embedding(items, "i", "items", 32, 3).collect()])
     assert v.shape == (30, 3) and np.allclose(v.mean(axis=0), 0, atol=1e-9) and np.allclose(v.std(axis=0, ddof=1), 1)
+
+
+def test_grid_sample_and_mediation_bootstrap(spark):
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "i long, c string")
+    got = designs.grid_sample(rows, ["c"], "i", 4, 20, 1).collect()
+    assert len(got) == 20 and sum(r["how"] == "grid" for r in got) == 12 and len({r["i"] for r in got}) == 20
+    assert {r["i"] for r in designs.grid_sample(rows, ["c"], "i", 4, 20, 1).collect()} == {r["i"] for r in got}
+    assert designs.grid_sample(rows, ["c"], "i", 4, 5, 1).count() == 12
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    m = 2 * x + rng.normal(size=400)
+    y = 3 * m + x + rng.normal(size=400)
+    table = spark.createDataFrame([("g", i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, m, y, strict=True))] + [("h", 1, 1.0, 1.0, 1.0)], "g string, i long, x double, m double, y double")
+    got = {r["g"]: r for r in designs.mediation_bootstrap(table, ["g"], "i", "x", "m", "y", 100).collect()}
+    assert got["g"]["low"] < 6 < got["g"]["high"] and abs(got["g"]["indirect"] - 6) < 1 and got["g"]["p"] == 0
+    assert "h" not in got or got["h"]["indirect"] is None
+
+
+def test_distances_of_a_path(spark):
+    path = graph.undirected(spark.createDataFrame([("a", "b"), ("b", "c")], "p string, q string"), "p", "q")
+    row = graph.distances(path).first()
+    assert row["mean_distance"] == pytest.approx(8 / 6) and row["diameter"] == 2 and row["n_pairs"] == 6

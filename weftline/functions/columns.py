@@ -81,3 +81,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 def set_jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+
+
+def l1(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def l2(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
+
+
+def cosine_or_rule(a: Column, b: Column) -> Column:
+    """Cosine; 1 where both norms are zero, 0 where one is."""
+    zero = (dot(a, a) == 0).cast("int") + (dot(b, b) == 0).cast("int")
+    return F.when(zero == 2, 1.0).when(zero == 1, 0.0).otherwise(cosine(a, b))

@@ -218,6 +218,29 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     return named.join(sums, "i").select("node", (F.col("passed") * scale).alias("centrality"))
 
 
+def distances(edges: DataFrame) -> DataFrame:
+    """One row: mean distance, diameter and ordered pairs that reach each other, over undirected edges (u, v).
+
+    A front (source, node) goes out from every node at once; a level is joined with the edges and what was seen is taken off.
+    The work is that of all pairs: for graphs of some thousand nodes.
+    """
+    links = cut(both_ways(edges).distinct())
+    seen = front = cut(links.select(F.col("u").alias("s"), F.col("u").alias("n")).distinct())
+    counts, depth = [], 0
+    while True:
+        depth += 1
+        grown = front.join(links, front.n == links.u).select("s", F.col("v").alias("n")).distinct()
+        front = cut(grown.join(seen, ["s", "n"], "left_anti"))
+        reached = front.count()
+        if not reached:
+            break
+        counts.append((depth, reached))
+        seen = seen.unionByName(front)
+    total = sum(n for _, n in counts)
+    mean = sum(d * n for d, n in counts) / total if total else None
+    return edges.sparkSession.createDataFrame([(mean, counts[-1][0] if counts else None, total)], "mean_distance double, diameter long, n_pairs long")
+
+
 def laplacian_smooth(scores: DataFrame, similar: DataFrame, alpha: float = 0.2, times: int = 2) -> DataFrame:
     """x <- x - alpha (D - A) x over (a, b, weight) in both directions, the diagonal of A at 1."""
     degree = similar.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("d"))

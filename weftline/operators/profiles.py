@@ -31,6 +31,17 @@ def shares(rows: DataFrame, by: list[str], value: str, name: str = "share") -> D
     return rows.withColumn(name, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*by))))
 
 
+def category_levels(rows: DataFrame, levels: list[str], weight: str = "w", fold: str = "f", measured: str = "m") -> DataFrame:
+    """By level and its category: summed weight, weighted mean fold, rows, and the measured and predicted weight."""
+    named = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).cast("string").alias("category")) for x in levels])).alias("c")
+    long = rows.select(named, weight, fold, measured).select("c.*", weight, fold, measured)
+    part = lambda which: F.round(F.coalesce(F.sum(F.when(which, F.col(weight))), F.lit(0.0)), 4)
+    return long.groupBy("level", "category").agg(
+        F.round(F.sum(weight), 4).alias("weight"), F.round(F.try_divide(F.sum(F.col(fold) * F.col(weight)), F.sum(weight)), 6).alias("mean_fold"), F.count("*").alias("n"),
+        part(F.col(measured)).alias("measured"), part(~F.col(measured)).alias("predicted"),
+    )
+
+
 def row_normalized(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """log1p, z over the group (population sd, 1 if tiny), shifted to 0, divided by the sum."""
     w = Window.partitionBy(*by)
@@ -79,8 +90,8 @@ def weighted_enrichment(members: DataFrame, sets: DataFrame, least: int = 3) ->
     out = hits.join(pathways, "pathway").join(entities, "entity").join(reach, "pathway").join(F.broadcast(universe))
     share = F.col("pathway_k") / F.col("universe")
     mean = F.col("weight") * share
-    size = F.greatest(F.lit(least), F.rint("weight").cast("long"))
-    found = F.least(F.greatest(F.lit(least), F.rint("weighted_observed").cast("long")), size, F.col("pathway_k"))
+    size = F.greatest(F.lit(least), F.rint(F.round("weight", 6)).cast("long"))
+    found = F.least(F.greatest(F.lit(least), F.rint(F.round("weighted_observed", 6)).cast("long")), size, F.col("pathway_k"))
     pool = F.col("universe").cast("long")
     out = out.withColumns({
         "expected": F.col("n") * share, "fold": F.col("k") / (F.col("n") * share), "weighted_fold": F.coalesce(F.try_divide(F.col("weighted_observed"), mean), F.lit(0.0)),

@@ -79,7 +79,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, probabilities: list[fl
 def stratified_did(rows: DataFrame, by: list[str], stratum: str, a: str, b: str, y: str, least: int = 2, inverse_variance: bool = False) -> DataFrame:
     """Interaction m11 - m10 - m01 + m00 over strata that have ``least`` (2 or more) rows in all four cells.
 
-    Strata weigh by their size or by 1/variance. Gives delta, se and the number of strata.
+    Strata weigh by their size or by 1/variance. Gives delta, se, the number of strata, z and its two-sided p.
     """
     cells = {"11": (1, 1), "10": (1, 0), "01": (0, 1), "00": (0, 0)}
     aggs = []
@@ -89,11 +89,13 @@ def stratified_did(rows: DataFrame, by: list[str], stratum: str, a: str, b: str,
     s = rows.groupBy(*by, stratum).agg(*aggs).where(" AND ".join(f"n{k} >= {max(2, least)}" for k in cells))
     s = s.withColumn("d", F.expr("m11 - m10 - m01 + m00")).withColumn("v", F.expr(" + ".join(f"v{k} / n{k}" for k in cells)))
     s = s.withColumn("w", F.expr("1 / v" if inverse_variance else "cast(n11 + n10 + n01 + n00 as double)"))
-    return s.groupBy(*by).agg(
+    out = s.groupBy(*by).agg(
         (F.sum(F.expr("w * d")) / F.sum("w")).alias("delta"),
         (F.sqrt(F.sum(F.expr("w * w * v"))) / F.sum("w")).alias("se"),
         F.count("*").alias("n_strata"),
     )
+    out = out.withColumn("z", F.try_divide("delta", "se"))
+    return out.withColumn("p", normal_p(F.col("z")))
 
 
 def group_did(rows: DataFrame, by: list[str], a: str, b: str, y: str) -> DataFrame:
@@ -188,22 +190,27 @@ def t_two_sided(t: float, df: float) -> float:
     return 1 - front * value if flip else front * value
 
 
+def poisson_weight(*parts: Column) -> Column:
+    """A Poisson(1) count, at most 8, from a hash of the parts."""
+    uniform = (F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    steps, total, p = [], 0.0, math.exp(-1)
+    for k in range(8):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    return sum((F.when(uniform > s, 1).otherwise(0) for s in steps), F.lit(0))
+
+
 def bootstrap_mean(rows: DataFrame, by: list[str], y: str, reps: int = 200, seed: int = 0) -> DataFrame:
     """Mean of y in each group with a percentile interval, by Poisson bootstrap.
 
     Each row gets ``reps`` Poisson(1) weights from a hash of its own, so groups of any size are only summed. Rows that
     are equal in all columns are numbered, so their weights differ too.
     """
-    uniform = lambda r: (F.pmod(F.xxhash64(F.lit(seed), r, "__row"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps, total, p = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
     copies = rows.groupBy(*rows.columns).agg(F.count("*").alias("__c")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))))
     out = copies.withColumn("__row", F.xxhash64(*[F.col(c) for c in rows.columns], "__copy")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    weight = sum((F.when(uniform(F.col("rep")) > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = out.withColumn("w", weight).groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(y)), F.sum("w")).alias("m"))
+    weighted = out.withColumn("w", poisson_weight(F.lit(seed), F.col("rep"), F.col("__row")))
+    means = weighted.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(y)), F.sum("w")).alias("m"))
     return means.groupBy(*by).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
@@ -219,7 +226,7 @@ def mediation(rows: DataFrame, by: list[str], x: str, m: str, y: str) -> DataFra
 
 
 def ols_interaction(rows: DataFrame, by: list[str], a: str, b: str, y: str, least: int = 30) -> DataFrame:
-    """beta, se, t and p of a*b in y ~ 1 + a + b + a*b, classical and HC3, from each group's moments.
+    """beta, its classical and HC3 standard errors, t and p of a*b in y ~ 1 + a + b + a*b, from each group's moments.
 
     With two binary regressors the model is saturated: its four cell means say everything.
     """
@@ -229,7 +236,9 @@ def ols_interaction(rows: DataFrame, by: list[str], a: str, b: str, y: str, leas
     var = sse / (n - 4) * F.expr("1D / n11 + 1D / n10 + 1D / n01 + 1D / n00")
     robust = F.expr(" + ".join(f"q{k} / pow(n{k} - 1, 2)" for k in ("11", "10", "01", "00")))
     out = cells.where((n >= least) & F.expr("least(n11, n10, n01, n00) >= 2"))
-    return out.select(*by, F.expr("m11 - m10 - m01 + m00").alias("beta"), F.sqrt(var).alias("se"), F.sqrt(robust).alias("se_hc3"), n.alias("n"))
+    out = out.select(*by, F.expr("m11 - m10 - m01 + m00").alias("beta"), F.sqrt(var).alias("se"), F.sqrt(robust).alias("se_hc3"), n.alias("n"))
+    out = out.withColumn("t", F.try_divide("beta", "se"))
+    return out.withColumn("p", t_p(F.col("t"), F.col("n") - 4))
 
 
 def group_cells(rows: DataFrame, by: list[str], a: str, b: str, y: str) -> DataFrame:

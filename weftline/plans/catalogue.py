@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import columns as C
 from weftline.operators import basket, evidence, graph, profiles, similarity, stats
 from weftline.operators.identity import best_link
-from weftline.plans import designs, identity, mediation, models, surface, texts, themes  # noqa: F401  (register their queries)
+from weftline.plans import designs, extras, identity, mediation, models, surface, texts, themes  # noqa: F401  (register their queries)
 from weftline.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from weftline.streaming.pairs import windowed_counts
 
@@ -106,13 +106,13 @@ w AS (SELECT *, {weight} AS w FROM d) SELECT o_orderstatus, round(sum(w * d) / s
 @query(_did_sql("(n11 + n10 + n01 + n00)::DOUBLE"))
 def stratified_did(t):
     """#128-129; D17: strata need two rows in each cell."""
-    return rounded(stats.stratified_did(cells_of(t), ["o_orderstatus"], "o_orderpriority", "a", "b", "y"), 3)
+    return rounded(stats.stratified_did(cells_of(t), ["o_orderstatus"], "o_orderpriority", "a", "b", "y").drop("z", "p"), 3)
 
 
 @query(_did_sql("1 / v"))
 def stratified_did_inverse_variance(t):
     """#128."""
-    return rounded(stats.stratified_did(cells_of(t), ["o_orderstatus"], "o_orderpriority", "a", "b", "y", inverse_variance=True), 3)
+    return rounded(stats.stratified_did(cells_of(t), ["o_orderstatus"], "o_orderpriority", "a", "b", "y", inverse_variance=True).drop("z", "p"), 3)
 
 
 @query(f"""WITH {CELLS}, c AS (SELECT o_orderpriority, a, b, avg(y) AS m, var_samp(y) / count(*) AS e FROM o GROUP BY ALL)
@@ -126,7 +126,7 @@ def group_did_welch(t):
 SELECT o_orderpriority, round(sum(CASE WHEN a = b THEN m ELSE -m END), 3) AS beta, round(sqrt(sum(q) / (sum(n) - 4) * sum(1 / n)), 3) AS se, round(sqrt(sum(q / (n - 1) ** 2)), 3) AS se_hc3, sum(n)::BIGINT AS n FROM c GROUP BY 1""")
 def ols_interaction(t):
     """#126-127 for the saturated model."""
-    return rounded(stats.ols_interaction(cells_of(t), ["o_orderpriority"], "a", "b", "y"), 3)
+    return rounded(stats.ols_interaction(cells_of(t), ["o_orderpriority"], "a", "b", "y").drop("t", "p"), 3)
 
 
 @query("""WITH s AS (SELECT l_returnflag, var_pop(l_quantity) AS xx, var_pop(l_discount) AS mm, covar_pop(l_quantity, l_discount) AS xm, covar_pop(l_quantity, l_extendedprice) AS xy, covar_pop(l_discount, l_extendedprice) AS my FROM lineitem GROUP BY 1)

@@ -39,7 +39,7 @@ def weighted_enrichment(t: Callable) -> DataFrame:
     return rounded(profiles.weighted_enrichment(members_of(t), sets_of(t), least=3).drop("drivers", "weighted_observed", "p_effective", "p_normal"))
 
 
-@query(f"""WITH {ENRICHED}, d AS (SELECT entity, pathway, k, kk, n, big, w, wo, cv, greatest(3, round_even(w, 0)) AS ne, w * kk / big AS mu FROM q), f AS (SELECT *, least(greatest(3, round_even(wo, 0)), ne, kk)::BIGINT AS ke FROM d),
+@query(f"""WITH {ENRICHED}, d AS (SELECT entity, pathway, k, kk, n, big, w, wo, cv, greatest(3, round_even(round(w, 6), 0)) AS ne, w * kk / big AS mu FROM q), f AS (SELECT *, least(greatest(3, round_even(round(wo, 6), 0)), ne, kk)::BIGINT AS ke FROM d),
 v AS (SELECT *, least(1.0, {TAIL.format(k='ke', K='kk', n='ne::BIGINT', M='big')}) AS pe FROM f) SELECT entity, pathway, round(pe, 6) AS p_effective FROM v""")
 def effective_size_enrichment(t: Callable) -> DataFrame:
     """#122: the tail with rounded weight sums for sizes."""

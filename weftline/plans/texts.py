@@ -132,15 +132,15 @@ def quantity_lines(t: Callable) -> DataFrame:
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS k, l_extendedprice / 1000 AS a, list_extract(['Iron, Fe', 'Energy', 'Cholesterol', 'Protein'], CAST(l_suppkey % 4 AS INT) + 1) AS n FROM lineitem),
 s AS (SELECT *, list_extract(['g', 'mg', 'UG', 'G'], CAST(k AS INT) + 1) AS u FROM r), m AS (SELECT *, upper(u) = 'G' AS g FROM s)
-SELECT l_orderkey, l_linenumber, round(CASE WHEN n = 'Iron, Fe' AND g AND a > 0.05 AND a <= 1 THEN a * 1000 ELSE a END, 6) AS amount,
+SELECT l_orderkey, l_linenumber, round(CASE WHEN n = 'Iron, Fe' AND g AND a > 0.05 AND a <= 1 THEN a * 1000 ELSE a END, 9) AS amount,
 CASE WHEN n = 'Energy' AND g AND a > 20 THEN 'KCAL' WHEN g AND (n = 'Cholesterol' OR (n = 'Iron, Fe' AND a > 0.05)) THEN 'MG' ELSE upper(u) END AS unit,
-round(a * CASE upper(u) WHEN 'G' THEN 1000 WHEN 'MG' THEN 1 ELSE 0.001 END, 6) AS milligrams FROM m""")
+round(a * CASE upper(u) WHEN 'G' THEN 1000 WHEN 'MG' THEN 1 ELSE 0.001 END, 9) AS milligrams FROM m""")
 def nutrient_units(t: Callable) -> DataFrame:
     """#106: mislabelled units mended, and units into each other."""
     a = F.col("l_extendedprice") / 1000
     n, u = pick(F.col("l_suppkey"), "Iron, Fe", "Energy", "Cholesterol", "Protein"), pick(F.col("l_linenumber"), "g", "mg", "UG", "G")
     out = t("lineitem").select("l_orderkey", "l_linenumber", X.sane_nutrient(n, a, u).alias("s"), X.in_unit(a, u, F.lit("MG")).alias("milligrams"))
-    return rounded(out.select("l_orderkey", "l_linenumber", "s.amount", "s.unit", "milligrams"))
+    return rounded(out.select("l_orderkey", "l_linenumber", "s.amount", "s.unit", "milligrams"), 9)
 
 
 @query("""WITH c AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS m, count(*) FILTER (l_returnflag <> 'R') AS p FROM lineitem GROUP BY 1)
