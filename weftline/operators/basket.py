@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.stats import quantiles
+
 
 def distinct_items(rows: DataFrame, basket: str, item: str) -> DataFrame:
     return rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
@@ -27,7 +29,7 @@ def frequent(items: DataFrame, least: int) -> DataFrame:
 def without_staples(items: DataFrame, share: float) -> DataFrame:
     """Rows without the items whose support reaches the (1 - share) quantile of supports."""
     support = item_support(items)
-    cut = support.agg(F.percentile("support", 1 - share).alias("cut"))
+    cut = quantiles(support.withColumn("all", F.lit(1)), ["all"], "support", [1 - share], ["cut"]).select("cut")
     return items.join(support.join(F.broadcast(cut)).where("support < cut"), "item", "left_semi")
 
 

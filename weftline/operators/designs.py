@@ -150,12 +150,19 @@ def outliers(rows: DataFrame, key: str, features: list[str], most: int) -> DataF
 
 
 def mean_correlation(rows: DataFrame, profile: str, dim: str, value: str) -> DataFrame:
-    """One row: profiles, pairs and the mean Pearson correlation over pairs of profiles, dimensions absent from one as 0."""
-    dims = rows.select(dim).distinct()
-    grid = rows.select(profile).distinct().join(dims).join(rows.groupBy(profile, dim).agg(F.sum(value).alias("v")), [profile, dim], "left").fillna(0.0, ["v"])
-    pairs = grid.select(F.col(profile).alias("x"), dim, F.col("v").alias("vx")).join(grid.select(F.col(profile).alias("y"), dim, F.col("v").alias("vy")), dim).where("x < y")
-    each = pairs.groupBy("x", "y").agg(F.corr("vx", "vy").alias("r"))
-    return each.agg(F.countDistinct("x").alias("n"), F.count("*").alias("n_pairs"), F.avg("r").alias("mean_r"))
+    """One row: profiles that vary, pairs of them and their mean Pearson correlation, dimensions absent from one as 0.
+
+    No pair is formed: of unit vectors, the sum over pairs is half of the squared length of their sum less their number.
+    """
+    own = rows.groupBy(profile, dim).agg(F.sum(value).alias("v"))
+    dims = own.agg(F.countDistinct(dim).cast("double").alias("d"))
+    each = own.groupBy(profile).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).join(F.broadcast(dims))
+    each = each.select(profile, "d", (F.col("s") / F.col("d")).alias("m"), F.sqrt(F.col("q") - F.col("s") * F.col("s") / F.col("d")).alias("z")).where("z > 1e-12")
+    shift = each.agg(F.sum(F.col("m") / F.col("z")).alias("shift"), F.count("*").alias("n"), F.max("d").alias("d"))
+    along = own.join(each.select(profile, "z"), profile).groupBy(dim).agg(F.sum(F.col("v") / F.col("z")).alias("b"))
+    total = along.agg(F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum("b").alias("b"))
+    length = F.expr("bb - 2 * shift * b + d * shift * shift")
+    return shift.join(F.broadcast(total)).select("n", F.expr("cast(n * (n - 1) / 2 as long)").alias("n_pairs"), F.try_divide(length - F.col("n"), F.col("n") * (F.col("n") - 1)).alias("mean_r"))
 
 
 def calibrated(confidence: Column, points: list[tuple[float, float]]) -> Column:

@@ -80,7 +80,7 @@ def best_link(rows: DataFrame, names: DataFrame, least: float, itself: bool = Tr
     cuts = F.filter(F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct((i * width).alias("at"), F.substring("__low", i * width + 1, width).alias("block"))), lambda b: F.length(b["block"]) > 0)
     blocks = left.withColumns({"__e": edits, "__w": width}).withColumn("__c", F.explode(cuts)).select("name", "__low", "__e", "__w", "__c.at", "__c.block")
     widths = blocks.select("__w").distinct()
-    grams = right.join(F.broadcast(widths.limit(10_000)), F.col("__w") <= other)
+    grams = right.join(F.broadcast(widths), F.col("__w") <= other)  # as many rows as names have lengths
     places = F.transform(F.sequence(F.lit(0), F.length("__other") - F.col("__w")), lambda i: F.struct(i.alias("place"), F.substring("__other", i + 1, F.col("__w")).alias("block")))
     grams = grams.withColumn("__g", F.explode(places)).select("best", "__other", "__w", "__g.place", "__g.block")
     near = blocks.join(grams, ["__w", "block"]).where("abs(place - at) <= __e").select("name", "best", "__low", "__other").distinct()

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.stats import quantiles
+
 
 def hops(edges: DataFrame, *kinds: str) -> DataFrame:
     """(node, reached): distinct ends of the paths along edges of these types, in order."""
@@ -156,7 +158,7 @@ def zero_reason(rows: DataFrame, checks: list[tuple[str, Column]], score: str =
 
 def high_confidence(rows: DataFrame, by: str, confidence: float = 0.8, stability: float = 0.5, quantile: float = 0.75) -> DataFrame:
     """Rows whose confidence and stability pass and whose score is at least the category's quantile."""
-    cut = rows.groupBy(by).agg(F.percentile("score", quantile).alias("cut"))
+    cut = quantiles(rows, [by], "score", [quantile], ["cut"])
     return rows.join(cut, by).where((F.col("confidence") >= confidence) & (F.col("stability") >= stability) & (F.col("score") >= F.col("cut"))).drop("cut")
 
 

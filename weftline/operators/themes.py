@@ -15,10 +15,13 @@ ACTIONS = ("INHIBITOR", "AGONIST", "ANTAGONIST")
 def match_themes(rows: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
     """(key, theme): rows named by a rule (explicit ``ids``), or whose text matches its ``pattern``; several themes a row.
 
-    Ids are an equi-join. Patterns meet the distinct texts only, against the rule table, whose size is fixed by hand.
+    Ids are an equi-join. Patterns meet the distinct texts only, against the rule table, which is made by hand: more than
+    1000 rules are refused, not cut.
     """
+    if rules.count() > 1000:
+        raise ValueError("too many rules to be broadcast")
     by_id = rows.join(rules.select("theme", F.explode("ids").alias(key)), key).select(key, "theme")
-    texts = rows.select(text).distinct().join(F.broadcast(rules.select("theme", "pattern").limit(1000)), F.expr(f"regexp_like({text}, concat('(?i)', pattern))")).select(text, "theme")
+    texts = rows.select(text).distinct().join(F.broadcast(rules.select("theme", "pattern")), F.expr(f"regexp_like({text}, concat('(?i)', pattern))")).select(text, "theme")
     return by_id.unionByName(rows.join(texts, text).select(key, "theme")).distinct()
 
 
@@ -124,15 +127,22 @@ def hub_suppressed(profiles: DataFrame, entity: str, category: str, value: str)
 
 
 def type_cosines(vectors: DataFrame, entity: str, kind: str, dim: str, value: str) -> DataFrame:
-    """By within or across kinds: pairs and the mean, least and greatest cosine of their long-form vectors."""
-    norms = vectors.groupBy(entity, kind).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
-    side = lambda s: norms.select(F.col(entity).alias(f"e{s}"), F.col(kind).alias(f"k{s}"), F.col("norm").alias(f"n{s}"))
-    pairs = side(1).join(side(2), F.col("e1") < F.col("e2"))
-    part = lambda s: vectors.select(F.col(entity).alias(f"e{s}"), dim, F.col(value).alias(f"v{s}"))
-    dots = part(1).join(part(2), dim).where("e1 < e2").groupBy("e1", "e2").agg(F.sum(F.expr("v1 * v2")).alias("dot"))
-    cos = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("n1") * F.col("n2"))
-    each = pairs.join(dots, ["e1", "e2"], "left").select(F.when(F.col("k1") == F.col("k2"), "within").otherwise("across").alias("scope"), cos.alias("cosine"))
-    return each.groupBy("scope").agg(F.count("*").alias("n_pairs"), F.avg("cosine").alias("mean"), F.min("cosine").alias("least"), F.max("cosine").alias("most"))
+    """By within or across kinds: pairs and the mean, least and greatest cosine of their long-form vectors.
+
+    Only pairs with a dimension in common are formed; the others, counted from the sizes of the kinds, have cosine 0.
+    """
+    norms = vectors.groupBy(entity, kind).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm")).where("norm > 0")
+    unit = vectors.join(norms.drop(kind), entity).select(F.col(entity).alias("e"), F.col(kind).alias("k"), dim, (F.col(value) / F.col("norm")).alias("v"))
+    pairs = unit.toDF("e1", "k1", dim, "v1").join(unit.toDF("e2", "k2", dim, "v2"), dim).where("e1 < e2")
+    scope = F.when(F.col("k1") == F.col("k2"), "within").otherwise("across")
+    each = pairs.groupBy("e1", "e2", scope.alias("scope")).agg(F.sum(F.expr("v1 * v2")).alias("c"))
+    met = each.groupBy("scope").agg(F.count("*").alias("met"), F.sum("c").alias("sum"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sizes = norms.groupBy(kind).agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).cast("long").alias("within"), F.expr("cast(sum(n) * (sum(n) - 1) / 2 as long)").alias("whole"))
+    counts = sizes.select(F.explode(F.create_map(F.lit("within"), F.col("within"), F.lit("across"), F.col("whole") - F.col("within"))).alias("scope", "n_pairs")).where("n_pairs > 0")
+    out = counts.join(met, "scope", "left").na.fill(0, ["met"]).na.fill(0.0, ["sum"])
+    some = F.col("met") < F.col("n_pairs")
+    bound = lambda f, c: F.when(some, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
+    return out.select("scope", "n_pairs", (F.col("sum") / F.col("n_pairs")).alias("mean"), bound(F.least, "low").alias("least"), bound(F.greatest, "high").alias("most"))
 
 
 def proxy_ratio(rows: DataFrame, group: str, basket: str, item: str, least: float = 1.5) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
@@ -543,8 +543,8 @@ def stratified_sample(t):
 def high_conf_p75(t):
     """#78."""
     f = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    cut = F.percentile("n", 0.75).over(Window.partitionBy("s_nationkey"))
-    return f.withColumn("cut", cut).where("n >= cut").select("s_nationkey", "l_suppkey", "n")
+    cut = stats.quantiles(f, ["s_nationkey"], "n", [0.75], ["cut"])
+    return f.join(cut, "s_nationkey").where("n >= cut").select("s_nationkey", "l_suppkey", "n")
 
 
 @query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), n AS (SELECT n_nationkey, n_name FROM nation)
