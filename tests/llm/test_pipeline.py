@@ -44,3 +44,45 @@ def test_documents_without_a_letter_go(spark, sf_dir):
     odd = spark.createDataFrame([(1, "123 456 !!", "en"), (2, None, "en"), (3, "the thing", "en")], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in langid.identify(odd, model).orderBy("doc_id").collect()] == ["und", "und", "en"]
     assert np.isclose(toxicity.fit([], []).bias, np.log(1e-9 / (1 + 1e-9)))
+
+
+def odd_documents(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns whose names the stages use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, Lang_Pred string, toxicity double, kept string, fp long, c0 string, `a.b` int, __keep int"
+    long = "the quick brown fox\n" * 3000
+    texts = ["the cat and the dog", "the cat and the dog", None, "", " \n ", "12 34", "日本語 テスト", "idiot moron the", long, "der hund und die katze"]
+    rows = [(i, t, "en" if t and t.isascii() else None, "s", len(t or ""), 0.5, "x", 0.9, "k", 7, "c", 1, 2) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[8], (None, "the cat and the dog", None, None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_stages_take_odd_clashing_and_empty_tables(spark, tmp_path):
+    docs = odd_documents(spark)
+    spark.createDataFrame([(7, 0, 1), (0, 1, 0), (9, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            rows = stage(spark, table, f"file://{tmp_path}")
+            got = rows.collect()
+            if name != "best_fit_packing":
+                assert rows.columns == docs.columns and rows.schema.simpleString() == docs.schema.simpleString()
+            if table is not docs:
+                assert got == []
+            elif name == "language_id":
+                assert {r["doc_id"] for r in got} >= {0, 1, 8} and not {r["doc_id"] for r in got} & {2, 3, 4, 5}
+                assert sum(r["doc_id"] == 0 for r in got) == 2  # repeated rows stay repeated
+            elif name == "line_dedup":
+                assert len(got) == docs.count()
+                text = {r["doc_id"]: r["text"] for r in got}
+                assert text[0] == "the cat and the dog" and text[1] == "" and text[2] is None and text[8].count("fox") == 1
+            elif name == "simhash_near_dedup":
+                assert 0 in {r["doc_id"] for r in got} and 1 not in {r["doc_id"] for r in got}
+            elif name == "best_fit_packing":
+                assert len({(r["doc_id"], r["piece"]) for r in got}) >= 10
+            else:
+                assert 0 in {r["doc_id"] for r in got}
+
+
+def test_texts_of_which_nothing_is_known_go(spark, tmp_path):
+    rows = [(i, "the cat and the dog", "en") for i in range(12)] + [(100, "一丁丂", None)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(12))
