@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import columns as C
 from weftline.operators import basket, evidence, graph, profiles, similarity, stats
 from weftline.operators.identity import best_link
-from weftline.plans import designs, extras, identity, mediation, models, surface, texts, themes  # noqa: F401  (register their queries)
+from weftline.plans import designs, extras, identity, mediation, models, storage, surface, texts, themes  # noqa: F401  (register their queries)
 from weftline.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from weftline.streaming.pairs import windowed_counts
 
@@ -31,7 +31,7 @@ pairs AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, log2(n_ab * (SELE
 
 @query(f"WITH {PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, round(pmi, 6) AS pmi, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap FROM pairs")
 def pair_pmi(t):
-    """#43, #55-57: pair counts, PMI, Jaccard, overlap ratio."""
+    """#42-43, #55-57, #59: pair counts, PMI, Jaccard, overlap ratio."""
     return rounded(basket.pair_scores(items_of(t)))
 
 
@@ -51,7 +51,7 @@ def pair_skip_reasons(t):
 
 @query(f"WITH {ITEMS}, k AS (SELECT item FROM items GROUP BY item HAVING count(*) >= 2000) SELECT item, count(*) AS support FROM items WHERE item IN (SELECT item FROM k) GROUP BY item")
 def item_support_gate(t):
-    """#29."""
+    """#29, #45."""
     return basket.item_support(basket.frequent(items_of(t), 2000))
 
 
@@ -293,7 +293,7 @@ def source_concat(t):
 @query("""WITH e AS (SELECT DISTINCT c_nationkey, l_suppkey, l_partkey, l_returnflag = 'R' AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
 SELECT c_nationkey, l_suppkey, sum(m::INT)::BIGINT AS measured_hits, count(DISTINCT l_partkey) AS compound_hits, bool_or(m) AS has_measured FROM e GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY measured_hits DESC, compound_hits DESC, l_suppkey) <= 25""")
 def lens_food_genes(t):
-    """#173."""
+    """#41, #173."""
     e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     e = e.select("c_nationkey", "l_suppkey", "l_partkey", (F.col("l_returnflag") == "R").alias("m")).distinct()
     g = e.groupBy("c_nationkey", "l_suppkey").agg(F.sum(F.col("m").cast("int")).alias("measured_hits"), F.countDistinct("l_partkey").alias("compound_hits"), F.max("m").alias("has_measured"))
@@ -484,7 +484,7 @@ def C_mass(unit: Column) -> Column:
 s AS (SELECT *, greatest(0, least(1, (0.4 * ln(1 + least(g, 100)) / ln(101) + 0.2 * ln(1 + least(c, 20)) / ln(21) + 0.4 * ln(1 + least(p, 10)) / ln(11) + 0.15 / (1 + exp(-ln(1 + least(t, 500))))) * 0.8 * (1 - q))) AS score FROM x)
 SELECT l_suppkey, round(score, 6) AS score, CASE WHEN (q - 0.05 > 1e-6 AND score < 0.5) OR (q - 0.05 < -1e-6 AND score > 0.5) THEN 'incoherent' ELSE 'coherent' END AS flag FROM s""")
 def mechanistic_score(t):
-    """#184-185; D6: no unused parameters."""
+    """#112, #184-185; D6: no unused parameters."""
     x = t("lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("g"), F.countDistinct("l_orderkey").alias("c"), F.countDistinct("l_returnflag").alias("p"), F.count("*").alias("t"), F.avg("l_discount").alias("q"))
     x = x.withColumn("score", profiles.mechanistic_score(F.col("g"), F.col("c"), F.col("p"), F.col("t"), F.lit(0.8), F.col("q")))
     return rounded(x.select("l_suppkey", "score", profiles.coherence(F.col("q") - 0.05, F.col("score")).alias("flag")))
