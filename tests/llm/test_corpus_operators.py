@@ -551,6 +551,16 @@ def test_sample_by_hash_is_bounded(spark):
     assert all(abs(hashes[r["id"]]) < 2**63 * 600 / 19_800 for r in got if r["g"] == "hot")
 
 
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_long_buckets_are_proposed_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(line_dedup, "HELD_IDS", held)
+    rows = spark.createDataFrame([(7, i) for i in range(30)] + [(8, 100), (8, 101), (9, 200)], "band long, id long").repartition(3)
+    found = line_dedup._proposals(rows, 8).collect()
+    roots = dict(common.connected_components(spark.createDataFrame([(r["a"], r["b"]) for r in found if r["kind"] == 0], "a long, b long"), "a", "b").collect())
+    assert {roots[i] for i in range(30)} == {0} and roots[101] == 100 and 200 not in roots
+    assert {r["b"] for r in found if r["kind"] == 1 and r["a"] == 7} == set(range(30))
+
+
 def test_all_similar_lines_of_a_table_meet(spark):
     """Recall on whole tables: every pair of lines of similarity 0.8 or more, counted by postings, ends in one component."""
     docs = documents(spark, "/root/testdata/sf0.01")

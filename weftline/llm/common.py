@@ -11,9 +11,10 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
@@ -145,17 +146,49 @@ def join_by_skewed_key(left: DataFrame, right: DataFrame, key: str, share: float
     return hot_side.select(order).unionByName(cold_side.select(order))
 
 
+def local_forest(links: DataFrame, window: int = 500_000) -> DataFrame:
+    """Edges u > v that join what the links (columns a, b) of a task join: each node to the least of its local component.
+
+    Links are taken in windows, so a task holds one window; what windows and tasks share is joined by later rounds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
+            if sum(x.shape[1] for x in held) >= window:
+                yield forest(np.concatenate(held, axis=1))
+                held = []
+        if held:
+            yield forest(np.concatenate(held, axis=1))
+
+    def forest(pairs: np.ndarray) -> pa.RecordBatch:
+        nodes, flat = np.unique(pairs, return_inverse=True)
+        a, b = flat.reshape(pairs.shape)
+        least = np.arange(len(nodes))
+        while True:  # hook the larger root to the smaller, then halve the paths
+            x, y = least[a], least[b]
+            open_ = x != y
+            if not open_.any():
+                break
+            np.minimum.at(least, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+            while (least[least] != least).any():
+                least = least[least]
+        moved = np.flatnonzero(least != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], ["u", "v"])
+
+    return links.mapInArrow(run, "u long, v long")
+
+
 def connected_components(links: DataFrame, a: str, b: str, label: str = "cc") -> DataFrame:
-    """Components of an undirected graph as (node, root), root the least node; nodes without links are absent.
+    """Components of an undirected graph of long ids as (node, root), root the least node; nodes without links are absent.
 
-    Alternating large-star and small-star rounds: each node points its larger neighbours, then its smaller
-    ones, at the least neighbour, until no edge changes. A round's edges are written to the shared folder.
+    Distributed union-find: each task joins its own links first; then, in alternating large-star and small-star rounds,
+    each node points its larger neighbours, then its smaller ones, at the least neighbour, until no edge changes. A
+    round's edges are written to the shared folder, and counted and hashed while they are written.
     """
-    edges = links.where(F.col(a) != F.col(b)).select(
-        F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")
-    )
-    edges = materialize(edges.distinct(), label)
-    state = _fingerprint(edges)
+    pairs = links.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    edges, state = _written_edges(local_forest(pairs).distinct(), label)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -164,14 +197,17 @@ def connected_components(links: DataFrame, a: str, b: str, label: str = "cc") ->
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
-        before, state = state, _fingerprint(edges)
+        before = state
+        edges, state = _written_edges(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
         if before == state:
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Row count and an order-free hash of an edge table."""
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+def _written_edges(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges as a table in the shared folder, with their count and an order-free hash."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)).alias("h"))
+    table = materialize(counted, label)
+    return table, (seen.get["n"], seen.get["h"])

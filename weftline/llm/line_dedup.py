@@ -40,6 +40,8 @@ from weftline.llm.common import connected_components, join_by_skewed_key, materi
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 12, 4, 8, 0.8
 BLOCK_SHINGLES = 1 << 19  # shingles of a block of a large bucket: 4 MB
+DENSE_PAIRS, DENSE_LINES = 1 << 22, 256  # sizes up to which a group is handled by matrices
+HELD_IDS = 1 << 20  # lines of an open bucket that a task holds: 16 MB
 FILTER_BITS = 1 << 28  # most bits of the filter on proposed lines: 32 MB; else 16 a line
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -237,8 +239,8 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
     """From rows (band, id), a row for each batch of documents that has the line: kind 0, a pair (a, b) of ids;
     kind 1, a member b of the large bucket a."""
 
-    def pairs_of(ids: np.ndarray, spread: np.ndarray) -> tuple[list[np.ndarray], bool]:
-        if len(ids) <= all_pairs:
+    def pairs_of(ids: np.ndarray, spread: np.ndarray, more: bool = False) -> tuple[list[np.ndarray], bool]:
+        if len(ids) <= all_pairs and not more:
             i, j = np.triu_indices(len(ids), 1)
             return [np.stack((ids[i], ids[j]))], False
         hub = ids[spread.argmax()]
@@ -256,12 +258,12 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(kinds[cut]), pa.array(both[0, cut]), pa.array(both[1, cut])], ["kind", "a", "b"])
 
         none = np.zeros(0, dtype=np.int64)
-        held, held_band = (none, none), 0  # ids of the open bucket and how many batches of documents have each
+        held, held_band, more = (none, none), 0, False  # ids of the open bucket and how many batches of documents have each; more: others went before
 
         def close() -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
             if len(held[0]) < 2:
                 return [], []
-            pairs, large = pairs_of(*held)
+            pairs, large = pairs_of(*held, more)
             return pairs, [(held_band, held[0])] * large
 
         for batch in batches:
@@ -290,10 +292,17 @@ def _proposals(bands: DataFrame, all_pairs: int) -> DataFrame:
                     pairs, big = close()
                     found += pairs
                     large += big
-                    held, held_band = (none, none), int(band[cuts[s]])
+                    held, held_band, more = (none, none), int(band[cuts[s]]), False
                 both, counts = np.concatenate((held[0], ids[own])), np.concatenate((held[1], spread[own]))
                 known, at = np.unique(both, return_inverse=True)
                 held = known, np.bincount(at, counts).astype(np.int64)
+                if len(known) > HELD_IDS:  # the bucket goes on from its most widespread line
+                    more = True
+                    pairs, big = close()
+                    found += pairs
+                    large += big
+                    hub = held[1].argmax()
+                    held = held[0][hub : hub + 1], held[1][hub : hub + 1]
             yield from emit(found, large)
         yield from emit(*close())
 
@@ -436,8 +445,23 @@ def _linked_roots(roots: np.ndarray, left: np.ndarray, within: bool, shingles: p
     rest = len(labels)
     if rest < 2 or not left.any():
         return [], []
+    sizes = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if left.sum() * len(left) <= DENSE_PAIRS:  # lines whose sizes allow no link are left out at once
+        here = np.flatnonzero(left)
+        able = (component[here][:, None] != component) & (np.minimum(sizes[here][:, None], sizes) >= threshold * np.maximum(sizes[here][:, None], sizes))
+        able[:, here] &= np.triu(np.ones((len(here), len(here)), dtype=bool), 1) if within else False
+        involved = able.any(axis=0)
+        involved[here] |= able.any(axis=1)
+        if not involved.any():
+            return [], []
+        if involved.sum() <= DENSE_LINES:
+            some = able[involved[here]][:, involved]
+            return _linked_few(labels, component[involved], np.flatnonzero(left[involved]), some, sizes[involved], shingles.take(pa.array(np.flatnonzero(involved))), threshold)
+        if not involved.all():
+            keep = np.flatnonzero(involved)
+            return _linked_roots(roots[keep], left[keep], within, shingles.take(pa.array(keep)), threshold)
     offsets = shingles.offsets.to_numpy()
-    offsets, sizes = offsets - offsets[0], np.diff(offsets)
+    offsets = offsets - offsets[0]
     n, line = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
     _, flat, often = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
     frequent = (often * 64 >= n) & (often > 1)
@@ -473,6 +497,22 @@ def _linked_roots(roots: np.ndarray, left: np.ndarray, within: bool, shingles: p
     return a, b
 
 
+def _linked_few(labels: np.ndarray, component: np.ndarray, left: np.ndarray, able: np.ndarray, sizes: np.ndarray, shingles: pa.ListArray, threshold: float) -> tuple[list[int], list[int]]:
+    """``_linked_roots`` of few lines: shared shingles of all pairs by one product of a 0/1 matrix."""
+    _, flat = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    present = np.zeros((len(sizes), int(flat.max()) + 1), dtype=np.float32)
+    present[np.repeat(np.arange(len(sizes)), sizes), flat] = 1
+    common = present[left] @ present.T
+    first, a, b = component.copy(), [], []
+    for k, j in np.argwhere(able & (common >= threshold * (sizes[left][:, None] + sizes - common))).tolist():
+        i = int(left[k])
+        if component[i] != component[j]:  # not joined meanwhile
+            a.append(int(labels[first[i]]))
+            b.append(int(labels[first[j]]))
+            component[component == component[j]] = component[i]
+    return a, b
+
+
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after further links between roots."""
     if links.isEmpty():
