@@ -118,6 +118,15 @@ def hypergeometric_tail(k: int, pool: int, marked: int, drawn: int) -> float:
         return 0.0
     log_c = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
     low = max(k, drawn - (pool - marked))
+    first = log_c(marked, low) + log_c(pool - marked, drawn - low) - log_c(pool, drawn) if low <= top else -math.inf
+    if first > -600:  # the terms from there on by their ratios, which fall
+        total = term = 1.0
+        for x in range(low, top):
+            term *= (marked - x) * (drawn - x) / ((x + 1) * (pool - marked - drawn + x + 1))
+            total += term
+            if term < 1e-18 * total:
+                break
+        return min(1.0, math.exp(first) * total)
     logs = [log_c(marked, x) + log_c(pool - marked, drawn - x) - log_c(pool, drawn) for x in range(low, top + 1)]
     if not logs:
         return 0.0
