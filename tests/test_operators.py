@@ -1,6 +1,7 @@
 """Operators on small fixtures with values worked out by hand or by plain Python."""
 
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -56,6 +57,25 @@ def test_pathway_permutation_reaches_a_thousandth(spark):
     assert rows["strong"]["value"] == 0.001 and rows["strong"]["observed"] == 5.0 and rows["weak"]["value"] == 1.0 and set(rows) == {"strong", "weak"}
 
 
+def test_pathway_permutation_costs_what_the_own_genes_do(spark):
+    reps, size = 20_000, 400
+    for n, k, seen in ((40, 12, 3), (90, 30, 9), (150, 12, 5)):  # ones: the sum over k places is hypergeometric; the last by whole shuffles
+        tail = sum(math.comb(n, x) * math.comb(size - n, k - x) for x in range(seen, k + 1)) / math.comb(size, k)
+        flat, starts = np.concatenate([np.arange(k), np.arange(n - k, n)]), np.array([0, k])
+        got = stats._shuffled_hits(np.random.default_rng(1), np.ones(n), size, flat, starts, np.array([seen, seen]), reps) / reps
+        assert got == pytest.approx([tail, tail], abs=5 * math.sqrt(tail / reps))
+    w = np.arange(8.0)  # which weights land where: the mean of a place's weight is that of all
+    hits = stats._shuffled_hits(np.random.default_rng(2), w, 64, np.arange(8), np.arange(8), np.full(8, 7.0), 64_000)
+    assert hits == pytest.approx(np.full(8, 1000), abs=160)
+
+    sets = spark.range(2_000_000).select(F.col("id").alias("g"), (F.col("id") % 4).cast("string").alias("path"))
+    members = spark.range(160).select((F.col("id") % 8).alias("e"), F.col("id").alias("g"), F.lit(1.0).alias("w"))
+    began = time.perf_counter()
+    rows = stats.pathway_permutation_p(members, sets, "e", "g", "path", "w").collect()
+    assert time.perf_counter() - began < 60  # 8 x 999 shuffles of two million weights took minutes
+    assert len(rows) == 8 and {(r["overlap"], r["observed"], r["p"]) for r in rows} == {(20, 20.0, 0.001)}
+
+
 @pytest.mark.parametrize(("ic", "cg", "shared", "passes"), [(60_000, 56, 32, True), (1000, 0, 5, True), (50_000, 88, 0, False), (1980, 480, 20, True), (50_000, 0, 30, True)])
 def test_overlap_gate(spark, ic, cg, shared, passes):
     a = spark.range(ic + shared).select(F.col("id").alias("k"))
