@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import designs, graph, identity, mediation, models, profiles, similarity, stats, surface
+from weftline.operators import designs, graph, identity, mediation, models, profiles, similarity, stats, surface, themes
 
 
 def test_t_and_normal_tails_equal_tables(spark):
@@ -265,3 +265,26 @@ def test_distances_of_a_path(spark):
     path = graph.undirected(spark.createDataFrame([("a", "b"), ("b", "c")], "p string, q string"), "p", "q")
     row = graph.distances(path).first()
     assert row["mean_distance"] == pytest.approx(8 / 6) and row["diameter"] == 2 and row["n_pairs"] == 6
+
+
+def test_type_cosines_meet_all_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(themes, "BLOCK", 8)  # many blocks, some empty
+    rng = np.random.default_rng(4)
+    rows = [(e, k, d, float(rng.normal())) for e in range(40) for k in ([0, 1] if e == 7 else [None] if e == 9 else [e % 3]) for d in rng.choice(900, 400, replace=False).tolist()]
+    rows += [(41, 0, -1, 1.0), (42, 1, None, 1.0), (43, 1, -2, 0.0)]  # dimensions of its own, none, and no norm
+    own, norm = {}, {}
+    for e, k, d, v in rows:
+        norm[e, k] = norm.get((e, k), 0.0) + v * v
+        if d is not None:
+            own.setdefault(e, {}).setdefault(d, []).append(v)
+    expected = {"within": [], "across": []}
+    for (a, k), x in norm.items():
+        for (b, m), y in norm.items():
+            if a < b and x and y:
+                dot = sum(sum(v) * sum(own[b][d]) for d, v in own.get(a, {}).items() if d in own.get(b, {}))
+                expected["within" if k is not None and k == m else "across"].append(dot / math.sqrt(x * y))
+    frame = spark.createDataFrame(rows, "e int, k int, d int, v double")
+    got = {r["scope"]: tuple(r)[1:] for r in themes.type_cosines(frame, "e", "k", "d", "v").collect()}
+    assert set(got) == set(expected)
+    for scope, c in expected.items():
+        assert got[scope] == pytest.approx((len(c), sum(c) / len(c), min(c), max(c)))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import cut
+
 # Limits and weights of the theme ranking.
 THIN_GENES, LOW_GENES = 20, 60
 THIN_GATE, LOW_GATE = 0.05, 0.5
 STRENGTH_CAP, MOA_CAP = 5.0, 4.0
+# Entities of a block, and dimensions of one matrix product, when all pairs are met.
+BLOCK, DIMS = 2048, 512
 ACTIONS = ("INHIBITOR", "AGONIST", "ANTAGONIST")
 
 
@@ -129,20 +137,53 @@ def hub_suppressed(profiles: DataFrame, entity: str, category: str, value: str)
 def type_cosines(vectors: DataFrame, entity: str, kind: str, dim: str, value: str) -> DataFrame:
     """By within or across kinds: pairs and the mean, least and greatest cosine of their long-form vectors.
 
-    Only pairs with a dimension in common are formed; the others, counted from the sizes of the kinds, have cosine 0.
+    All pairs of different entities are met by matrix products: entities are dealt into blocks of about BLOCK, a task
+    meets two blocks and keeps the figures of its pairs alone. Vectors without a dimension in common have cosine 0.
     """
-    norms = vectors.groupBy(entity, kind).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm")).where("norm > 0")
-    unit = vectors.join(norms.drop(kind), entity).select(F.col(entity).alias("e"), F.col(kind).alias("k"), dim, (F.col(value) / F.col("norm")).alias("v"))
-    pairs = unit.toDF("e1", "k1", dim, "v1").join(unit.toDF("e2", "k2", dim, "v2"), dim).where("e1 < e2")
-    scope = F.when(F.col("k1") == F.col("k2"), "within").otherwise("across")
-    each = pairs.groupBy("e1", "e2", scope.alias("scope")).agg(F.sum(F.expr("v1 * v2")).alias("c"))
-    met = each.groupBy("scope").agg(F.count("*").alias("met"), F.sum("c").alias("sum"), F.min("c").alias("low"), F.max("c").alias("high"))
-    sizes = norms.groupBy(kind).agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2")).cast("long").alias("within"), F.expr("cast(sum(n) * (sum(n) - 1) / 2 as long)").alias("whole"))
-    counts = sizes.select(F.explode(F.create_map(F.lit("within"), F.col("within"), F.lit("across"), F.col("whole") - F.col("within"))).alias("scope", "n_pairs")).where("n_pairs > 0")
-    out = counts.join(met, "scope", "left").na.fill(0, ["met"]).na.fill(0.0, ["sum"])
-    some = F.col("met") < F.col("n_pairs")
-    bound = lambda f, c: F.when(some, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
-    return out.select("scope", "n_pairs", (F.col("sum") / F.col("n_pairs")).alias("mean"), bound(F.least, "low").alias("least"), bound(F.greatest, "high").alias("most"))
+    rows = vectors.select(F.col(entity).alias("e"), F.col(kind).alias("k"), F.col(dim).alias("d"), F.col(value).cast("double").alias("v")).where("e IS NOT NULL")
+    norms = rows.groupBy("e", "k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 0")
+    blocks = norms.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    sums = rows.where("d IS NOT NULL").groupBy("e", "d").agg(F.sum("v").alias("v"))
+    unit = norms.join(sums, "e", "left").join(F.broadcast(blocks)).select(F.pmod(F.xxhash64("e"), "blocks").cast("int").alias("b"), "blocks", "e", "k", "d", (F.col("v") / F.col("norm")).alias("v"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        e, _ = pd.factorize(part["e"])
+        k, kinds = pd.factorize(part["k"])
+        d, dims = pd.factorize(part["d"])
+        row, _ = pd.factorize(e * (len(kinds) + 1) + k)  # one row for each entity and kind
+        at = np.unique(row, return_index=True)[1]
+        v, met = part["v"].fillna(0.0).to_numpy(float), d >= 0
+        block = pickle.dumps((e[at], k[at], list(kinds), list(dims), row[met], d[met], v[met]), protocol=5)
+        return pd.DataFrame({"b": part["b"].iloc[:1], "blocks": part["blocks"].iloc[:1], "block": [block]})
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:  # no entity was dealt into that block
+            return pd.DataFrame({c: [] for c in ("scope", "n", "sum", "low", "high")})
+        x, y = pickle.loads(left["block"].iloc[0]), pickle.loads(right["block"].iloc[0])
+        c, shared = np.zeros((len(x[0]), len(y[0]))), {d: i for i, d in enumerate(set(x[3]) & set(y[3]))}
+        places = [np.array([shared.get(d, -1) for d in z[3]], dtype=np.int64)[z[5]] if z[3] else z[5] for z in (x, y)]
+        for low in range(0, len(shared), DIMS):
+            dense = []
+            for z, at in zip((x, y), places, strict=True):
+                some = (at >= low) & (at < low + DIMS)
+                m = np.zeros((len(z[0]), min(DIMS, len(shared) - low)))
+                m[z[4][some], at[some] - low] = z[6][some]
+                dense.append(m)
+            c += dense[0] @ dense[1].T
+        code = {k: i for i, k in enumerate(y[2])}
+        same = np.array([*(code.get(k, -2) for k in x[2]), -2])[x[1]][:, None] == y[1][None, :]
+        masks = {"within": same, "across": ~same}
+        if left["i"].iloc[0] == left["j"].iloc[0]:  # each pair once, and no entity with itself
+            once = np.triu(x[0][:, None] != x[0][None, :], 1)
+            masks = {s: m & once for s, m in masks.items()}
+        found = [(s, c[m]) for s, m in masks.items()]
+        return pd.DataFrame([(s, len(v), v.sum(), v.min(), v.max()) for s, v in found if len(v)], columns=["scope", "n", "sum", "low", "high"])
+
+    packed = cut(unit.groupBy("b").applyInPandas(pack, "b int, blocks int, block binary"))
+    left = packed.select(F.col("b").alias("i"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("j"), "block")
+    right = packed.select(F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), "block")
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "scope string, n long, sum double, low double, high double")
+    return met.groupBy("scope").agg(F.sum("n").alias("n_pairs"), (F.sum("sum") / F.sum("n")).alias("mean"), F.min("low").alias("least"), F.max("high").alias("most"))
 
 
 def proxy_ratio(rows: DataFrame, group: str, basket: str, item: str, least: float = 1.5) -> DataFrame:
