@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import designs, graph, identity, mediation, models, profiles, similarity, stats, surface, themes
+from weftline.plans import catalogue
 
 
 def test_t_and_normal_tails_equal_tables(spark):
@@ -288,3 +289,27 @@ def test_type_cosines_meet_all_pairs_by_blocks(spark, monkeypatch):
     assert set(got) == set(expected)
     for scope, c in expected.items():
         assert got[scope] == pytest.approx((len(c), sum(c) / len(c), min(c), max(c)))
+
+
+def test_expanded_edges_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(identity, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    parts = [(i, "ab"[i % 2], None if i == 4 else i % 3) for i in range(30)] + [(6, "a", 0), (7, "a", 0), (7, "a", 0), (None, "a", 0)]  # a row twice, a key in two groups
+    edges = [(int(c), int(g)) for c, g in rng.integers(0, [33, 12], (150, 2))] + [(3, 5)] * 3 + [(None, 1), (2, None), (2, None), (40, None)]
+    found = {}
+    for c, g in edges:
+        found.setdefault((c, g), []).append("direct")
+    for p, *x in parts:
+        for q, *y in parts:
+            if None not in (p, q, *x, *y) and x == y and p != q:
+                for c, g in edges:
+                    if c == q:
+                        found.setdefault((p, g), []).append("by name")
+    got = {(r["compound"], r["gene"]): (r["sources"], r["n_sources"], r["support"]) for r in identity.expanded(spark.createDataFrame(edges, "compound long, gene long"), spark.createDataFrame(parts, "compound long, name string, brand long"), ["name", "brand"]).collect()}
+    assert got == {k: ("|".join(sorted(set(v))), len(set(v)), len(v)) for k, v in found.items()}
+
+
+def test_expanded_edges_are_not_grouped_again(spark, sf_dir):
+    plan = catalogue.QUERIES["expanded_edges"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    first = plan.split("\n:- ")[1].split("\n+- ")[0]  # the pairs, of which there are most
+    assert plan.startswith("Union") and "Generate explode" in first and "Aggregate" not in first.split("Generate explode(genes")[0]

@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Nominal grams of traces and of pieces.
+from weftline.sources.shared import cut
+
+# Nominal grams of traces and of pieces; compounds and genes of a block of edges.
 TRACE_GRAMS = {"trace": 0.5, "pinch": 0.3, "dash": 0.4, "handful": 30.0, "garnish": 2.0}
 MASS_UNITS = {"gram": 1.0, "kilogram": 1000.0, "ounce": 28.349523125, "pound": 453.59237}
 GENERIC_GRAMS = {"cup": 240.0, "tablespoon": 15.0, "teaspoon": 5.0, "milliliter": 1.0, "liter": 1000.0, "clove": 3.0, "slice": 25.0, "egg": 50.0}
+BLOCK = 1024
 
 
 def resolved(rows: DataFrame, steps: list[tuple[str, str, DataFrame]]) -> DataFrame:
@@ -159,3 +162,52 @@ def farthest_sets(sets: DataFrame, entity: str, member: str, k: int) -> DataFram
         chosen.append(grid.join(common, ["e", "c"], "left").groupBy("e").agg(F.round(F.min(far), 12).alias("far"), F.first("n").alias("n")).orderBy(F.desc("far"), "e").first())
     rows = [(i + 1, c["e"]) for i, c in enumerate(chosen) if c is not None]
     return sets.sparkSession.createDataFrame(rows, f"place int, entity {sets.schema[entity].dataType.simpleString()}")
+
+
+def expanded(edges: DataFrame, compounds: DataFrame, same: list[str]) -> DataFrame:
+    """compound, gene: the sources ("direct", "by name") of an edge, their number and its support in rows.
+
+    ``edges`` has compound and gene, repeats included; edges "by name" are those of every other compound alike in all
+    columns ``same`` of ``compounds``, once for each pair of rows alike. A gene's rows in a group are its support with any
+    compound of the group, so the pairs are written as they are formed, from blocks of at most about BLOCK compounds
+    times BLOCK genes of a group, and are not grouped again. Only compounds in several groups and edges without a gene
+    are.
+    """
+    rows = edges.groupBy("compound", "gene").agg(F.count("*").alias("own"))
+    known = compounds.where(" AND ".join(f"`{c}` IS NOT NULL" for c in ["compound", *same])).groupBy("compound", *same).agg(F.count("*").alias("m"))
+    known = known.groupBy("compound").agg(F.collect_list(F.struct(*same, "m")).alias("kin"))
+    single = known.where(F.size("kin") == 1).select("compound", F.inline("kin"))
+    placed = cut(rows.join(known, "compound", "left"))  # group and gene are known of each direct edge from here on
+
+    shared = placed.select("gene", "own", F.inline("kin")).groupBy(*same, "gene").agg(F.sum(F.col("own") * F.col("m")).alias("n"))
+    shared = cut(shared)
+    sizes = shared.groupBy(*same).agg(F.ceil(F.count("gene") / BLOCK).cast("int").alias("across")).where("across > 0")
+    sizes = single.groupBy(*same).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("down")).join(sizes, same)
+    col = F.pmod(F.xxhash64("gene"), "across").cast("int").alias("col")
+
+    # single group: what the group adds to each compound, its own genes aside
+    genes = shared.where("gene IS NOT NULL").join(sizes, same).select(*same, "down", col, F.struct("gene", "n").alias("g"))
+    genes = genes.groupBy(*same, "down", "col").agg(F.collect_list("g").alias("genes")).select(*same, F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("row"), "col", "genes")
+    one = F.size("kin") == 1
+    held = placed.where(one).where("gene IS NOT NULL").select("compound", "gene", F.inline("kin")).join(sizes, same).groupBy("compound", col).agg(F.collect_list("gene").alias("held"))
+    cells = single.join(sizes, same).select(*same, "compound", "m", F.pmod(F.xxhash64("compound"), "down").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("col"))
+    cells = cells.join(held, ["compound", "col"], "left").withColumn("held", F.coalesce("held", F.array().cast(held.schema["held"].dataType)))
+    pairs = cells.join(genes.hint("merge"), [*same, "row", "col"]).select("compound", "m", "held", F.explode("genes").alias("g"))
+    by_name = pairs.where(~F.array_contains("held", F.col("g.gene"))).select("compound", "g.gene", F.lit("by name").alias("sources"), F.lit(1).cast("long").alias("n_sources"), (F.col("m") * F.col("g.n")).alias("support"))
+
+    # a compound's own edges, with what its group adds
+    alone = placed.where((one | F.col("kin").isNull()) & F.col("gene").isNotNull()).select("compound", "gene", "own", F.inline_outer("kin"))
+    added = F.coalesce(F.col("m") * (F.col("n") - F.col("m") * F.col("own")), F.lit(0))
+    own = alone.join(shared, [*same, "gene"], "left").select("compound", "gene", "own", added.alias("more"))
+
+    # several groups, or no gene: grouped by compound and gene
+    many = known.withColumn("several", F.size("kin") > 1).select("compound", "several", F.inline("kin"))
+    gained = many.where("several").drop("several").join(shared, same).unionByName(many.where("NOT several").drop("several").join(shared.where("gene IS NULL"), same))
+    left = placed.where((F.size("kin") > 1) | F.col("gene").isNull()).select("compound", "gene", "own", F.aggregate(F.coalesce("kin", F.array().cast(placed.schema["kin"].dataType)), F.lit(0).cast("long"), lambda s, x: s + x["m"] * x["m"]).alias("squares"))
+    parts = gained.select("compound", "gene", F.lit(0).cast("long").alias("own"), (F.col("m") * F.col("n")).alias("more")).unionByName(left.select("compound", "gene", "own", (-F.col("own") * F.col("squares")).alias("more")))
+    regrouped = parts.groupBy("compound", "gene").agg(F.sum("own").alias("own"), F.sum("more").alias("more"))
+
+    direct, other = F.col("own") > 0, F.col("more") > 0
+    sources = F.when(direct & other, "by name|direct").when(direct, "direct").otherwise("by name")
+    told = own.unionByName(regrouped).where(direct | other).select("compound", "gene", sources.alias("sources"), F.when(direct & other, 2).otherwise(1).cast("long").alias("n_sources"), (F.col("own") + F.col("more")).alias("support"))
+    return by_name.unionByName(told)

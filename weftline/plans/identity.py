@@ -197,12 +197,8 @@ def approved_genes(t: Callable) -> DataFrame:
 SELECT c AS compound, g AS gene, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, count(DISTINCT source) AS n_sources, count(*) AS support FROM u GROUP BY 1, 2""")
 def expanded_edges(t: Callable) -> DataFrame:
     """#229: edges of a compound and of those of the same name and brand, with their sources."""
-    direct = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("c"), F.col("l_suppkey").alias("g"))
-    p = t("part").select("p_partkey", "p_name", "p_brand")
-    same = p.join(p.select(F.col("p_partkey").alias("c"), "p_name", "p_brand"), ["p_name", "p_brand"]).where("p_partkey <> c").select(F.col("p_partkey").alias("compound"), "c")
-    rows = direct.select(F.col("c").alias("compound"), "g", F.lit("direct").alias("source")).unionByName(same.join(direct, "c").select("compound", "g", F.lit("by name").alias("source")))
-    s = F.array_sort(F.collect_set("source"))
-    return rows.groupBy("compound", F.col("g").alias("gene")).agg(s.alias("s"), F.count("*").alias("support")).select("compound", "gene", F.array_join("s", "|").alias("sources"), F.size("s").cast("long").alias("n_sources"), "support")
+    direct = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("compound"), F.col("l_suppkey").alias("gene"))
+    return identity.expanded(direct, t("part").withColumnRenamed("p_partkey", "compound"), ["p_name", "p_brand"])
 
 
 @query("""SELECT l_suppkey, round(coalesce(avg((l_returnflag = 'R')::INT) FILTER (l_discount > 0.05), avg((l_returnflag = 'R')::INT), 0), 6) AS fraction FROM lineitem GROUP BY 1""")
