@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -313,3 +314,19 @@ def test_expanded_edges_are_not_grouped_again(spark, sf_dir):
     plan = catalogue.QUERIES["expanded_edges"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     first = plan.split("\n:- ")[1].split("\n+- ")[0]  # the pairs, of which there are most
     assert plan.startswith("Union") and "Generate explode" in first and "Aggregate" not in first.split("Generate explode(genes")[0]
+
+
+def test_nearest_rows_equal_a_full_sort():
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 7, 4000) * 100.0, rng.integers(0, 900, 4000).astype(float)])  # many ties
+    x[::97, 1], x[5, 0], x[6, 0] = np.nan, np.inf, -np.inf
+    pool = np.flatnonzero(rng.random(4000) < 0.7)
+    for few in (pool, pool[:30]):
+        nearest = designs._nearest(x, few, 50)
+        for point in x[:300]:
+            assert nearest(point).tolist() == few[np.argsort(((x[few] - point) ** 2).sum(axis=1), kind="stable")[:50]].tolist()
+    big = np.column_stack([rng.integers(1, 8, 600_000) * 100.0, rng.integers(0, 900_000, 600_000).astype(float)])
+    began, nearest = time.perf_counter(), designs._nearest(big, np.arange(600_000), 50)
+    for point in big[:5000]:
+        nearest(point)
+    assert time.perf_counter() - began < 30  # full sorts took minutes
