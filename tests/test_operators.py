@@ -125,6 +125,21 @@ def test_pagerank_and_walk_equal_matrices(spark):
     assert [got.get(j, 0.0) for j in range(3)] == pytest.approx((x @ across).tolist())
 
 
+def test_pagerank_needs_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = {(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 500), rng.integers(0, 75, 500), strict=True)}  # 60 to 74 have no links of their own
+    edges |= {(0, i) for i in range(75)}
+    m = np.full((75, 75), 1 / 75)
+    for a in {a for a, _ in edges}:
+        m[:, a] = [((a, b) in edges) / sum(x == a for x, _ in edges) for b in range(75)]
+    r = np.linalg.solve(np.eye(75) - 0.85 * m, np.full(75, 0.15 / 75))
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "FAN", 8)  # node 0 has its links in several lists
+    monkeypatch.setattr(graph, "cut", lambda f: cuts.append(1) or cut(f))
+    got = dict(graph.pagerank(spark.createDataFrame(sorted(edges), "u int, v int"), "u", "v", tol=1e-6).collect())
+    assert sum(abs(got[i] - r[i]) for i in range(75)) < 5e-7 and len(cuts) <= 3 + 2 * 20
+
+
 def test_pagerank_and_walk_converge(spark):
     pairs = [(0, i) for i in range(1, 5)] + [(i, i + 4) for i in range(1, 5)]
     m = np.zeros((9, 9))

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.sources.shared import cut
 
+# Rounds that PageRank draws on, and links of a list.
+KEPT, FAN = 6, 4096
+
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct unordered edges u < v without loops."""
@@ -55,8 +61,8 @@ def until_steady(frame: DataFrame, step: Callable[[DataFrame], DataFrame], keys:
 def pagerank(edges: DataFrame, src: str, dst: str, damping: float = 0.85, times: int = 10, tol: float | None = None) -> DataFrame:
     """Rank over distinct directed edges; mass of nodes without out-edges is spread evenly.
 
-    With ``tol``, rounds go on until the summed change of all ranks is below it (a round shrinks it by ``damping``
-    at least, so they end); ``times`` holds without it.
+    With ``tol``, rounds go on until all ranks together are within half of it of the fixed point (see ``_steady_ranks``);
+    ``times`` holds without it.
     """
     links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     if tol is not None:
@@ -65,21 +71,68 @@ def pagerank(edges: DataFrame, src: str, dst: str, damping: float = 0.85, times:
     out = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     base = nodes.join(out, "node", "left").join(F.broadcast(nodes.agg(F.count("*").alias("n"))))
     if tol is not None:
-        base = cut(base)
-    ends = tol is None or not base.where("out is null").isEmpty()
+        return _steady_ranks(cut(base), links, damping, tol)
 
     def step(ranks: DataFrame) -> DataFrame:
         now = base.join(ranks, "node")
         lost = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = links.join(now.where("out is not null"), links.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.expr("rank / out")).alias("got"))
-        joined = base.join(got, "node", "left")
-        joined = joined.join(F.broadcast(lost)) if ends else joined.withColumn("lost", F.lit(0.0))
+        joined = base.join(got, "node", "left").join(F.broadcast(lost))
         return joined.select("node", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("rank"))
 
-    start = base.select("node", (1 / F.col("n")).alias("rank"))
-    if tol is not None:
-        return until_steady(start, step, ["node"], "rank", tol, every=2 if ends else 6, total=True)
-    return rounds(start, step, times)
+    return rounds(base.select("node", (1 / F.col("n")).alias("rank")), step, times)
+
+
+def _steady_ranks(base: DataFrame, links: DataFrame, damping: float, tol: float) -> DataFrame:
+    """Ranks whose summed distance from the fixed point is below tol / 2. ``base``: node, out, n; ``links``: src, dst.
+
+    A round changes ranks linearly, so the next ones are the weighted mean of the last KEPT rounds whose summed squared
+    change is least (Anderson's acceleration). If that makes the change larger, a plain round follows the last better
+    ranks, which shrinks it by ``damping`` at least: rounds end. What is returned is a plain round of the last ranks,
+    whose distance is damping / (1 - damping) of their change at most. Links are kept by node, in lists of about
+    FAN at most, where they stay in all rounds.
+    """
+    spark = base.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fans = base.where(F.col("out") > FAN).select(F.col("node").alias("src"), F.ceil(F.col("out") / FAN).alias("fans"))
+    dealt = links.repartition(parts, "src").join(fans, "src", "left")
+    near = cut(dealt.groupBy("src", F.pmod(F.xxhash64("dst"), F.coalesce("fans", F.lit(1))).alias("fan")).agg(F.collect_list("dst").alias("dsts")).select("src", "dsts"))
+
+    # x: the ranks; g and f: ranks after a round and the changes, of the last rounds, newest first
+    none = F.array().cast("array<double>")
+    now = base.select("node", "out", "n", (1 / F.col("n")).alias("x"), none.alias("g"), none.alias("f"))
+    before = None
+    while True:
+        now = cut(now)
+        sent = near.join(now.where("out IS NOT NULL").select(F.col("node").alias("src"), F.expr("x / out").alias("part")).repartition(parts, "src"), "src").select(F.explode("dsts").alias("node"), "part")
+        got = sent.groupBy("node").agg(F.sum("part").alias("got"))
+        lost = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("x"))), F.lit(0.0)).alias("lost"))
+        g = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
+        done = now.join(got, "node", "left").join(F.broadcast(lost)).withColumn("y", g)
+        done = cut(done.select("node", "out", "n", "x", *[F.slice(F.concat(F.array(c), old), 1, KEPT).alias(old) for c, old in ((F.col("y"), "g"), (F.col("y") - F.col("x"), "f"))]))
+        spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffles of earlier rounds
+        kept = done.select(F.size("f").alias("k")).first()
+        if kept is None:
+            return done.select("node", F.col("x").alias("rank"))
+        k = kept["k"]
+        products = [F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(k) for j in range(i, k)]
+        change, *products = done.agg(F.sum(F.abs(F.col("f")[0])), *products).first()
+        if change * damping / (1 - damping) < tol / 2:
+            return done.select("node", F.col("g")[0].alias("rank"))
+        if before is not None and change > before:
+            now = done.select("node", "out", "n", F.col("g")[1].alias("x"), none.alias("g"), none.alias("f"))
+            before = None
+            continue
+        gram = np.zeros((k, k))
+        gram[np.triu_indices(k)] = products
+        gram += np.triu(gram, 1).T
+        steps = np.hstack([-np.ones((k - 1, 1)), np.eye(k - 1)])  # changes less the newest one
+        normal = steps @ gram @ steps.T
+        scale = 1 / np.sqrt(np.maximum(np.diag(normal), 1e-300))
+        moves = np.linalg.lstsq(normal * np.outer(scale, scale), -(steps @ gram[0]) * scale, rcond=1e-13)[0] * scale if k > 1 else np.zeros(0)
+        weights = [1 - moves.sum(), *moves]
+        x = reduce(add, [F.lit(float(w)) * F.col("g")[i] for i, w in enumerate(weights)])
+        now, before = done.select("node", "out", "n", x.alias("x"), "g", "f"), change
 
 
 def components(edges: DataFrame) -> DataFrame:
