@@ -330,3 +330,38 @@ def test_nearest_rows_equal_a_full_sort():
     for point in big[:5000]:
         nearest(point)
     assert time.perf_counter() - began < 30  # full sorts took minutes
+
+
+def test_greedy_matching_uses_up_a_pool(spark):
+    rng = np.random.default_rng(2)
+    rows = [("st"[i % 2], i, ["ab", "a", "b", "none", "other"][int(rng.choice(5, p=[0.4, 0.35, 0.08, 0.12, 0.05]))], float(rng.integers(9)), float(rng.integers(40))) for i in range(900)]
+    rows = [(*r[:3], None if r[1] % 50 == 7 else r[3], r[4]) for r in rows] + [("only treated", 901, "ab", 1.0, 1.0), ("only treated", 902, "a", 1.0, 1.0)]
+    got = sorted(tuple(r) for r in designs.matched(spark.createDataFrame(rows, "s string, k long, g string, x double, y double"), ["s"], "k", "g", ["x", "y"]).collect())
+    expected = []
+    for s in "st":
+        free = {g: [r for r in rows if r[0] == s and r[2] == g] for g in ("a", "b", "none")}
+        treated = [r for r in rows if r[0] == s and r[2] == "ab"]
+        n = min(map(len, (treated, *free.values())))
+        for _, k, _, x, y in treated[:n]:
+            picks = [min(pool, key=lambda r: (None in (x, r[3]), 0 if None in (x, r[3]) else (r[3] - x) ** 2 + (r[4] - y) ** 2, r[1])) for pool in free.values()]
+            for pool, pick in zip(free.values(), picks, strict=True):
+                pool.remove(pick)
+            expected.append((s, k, *(pick[1] for pick in picks)))
+        assert len(free["b"]) == 0 and n > 20  # with a bound of 50 near rows some of b stayed free
+    assert got == sorted(expected)
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 1000])
+def test_nearest_free_rows_equal_a_full_search(kinds):
+    rng = np.random.default_rng(kinds)
+    x = rng.integers(0, kinds, (600, 3)).astype(float)
+    for value, share in ((np.nan, 0.02), (np.inf, 0.02), (-np.inf, 0.02), (1e300, 0.05)):
+        x[rng.random(x.shape) < share] = value
+    pool = list(range(0, 600, 2))
+    with np.errstate(invalid="ignore", over="ignore"):
+        free = designs._Free(x, np.array(pool))
+        for point in x[rng.permutation(600)[: len(pool)]]:
+            d = ((x[pool] - point) ** 2).sum(axis=1)
+            assert free.take(point) == pool.pop(int(np.argsort(d, kind="stable")[0]))
+    alike, began = designs._Free(np.zeros((100_000, 2)), np.arange(100_000)), time.perf_counter()
+    assert [alike.take(np.zeros(2)) for _ in range(10_000)] == list(range(10_000)) and time.perf_counter() - began < 30
